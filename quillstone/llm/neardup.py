@@ -14,10 +14,10 @@ any size are split over partitions; the rows at partition edges are paired in
 a second, small step.  A sketch of low bits of all values drops most pairs
 that can't reach the threshold before they leave the task.
 
-Candidate pairs are then confirmed on the full sets, in three rounds: first
-each document with its smallest likely partner, then the likeliest pair
-between any two components, then all pairs that still join two components.
-Pairs inside a component change nothing and are not compared.  A pivot's pairs
+Candidate pairs are then confirmed on the full sets, in two rounds: first each
+document with a few of its likely partners, those with the smallest ids and
+those that agree most; then all pairs that still join two components.  Pairs
+inside a component change nothing and are not compared.  A pivot's pairs
 are salted into chunks, and streamed past the pivot's set.
 
 Recall: a pair at a Jaccard similarity of 0.8 misses one tree with probability
@@ -57,6 +57,8 @@ SAME = 3
 AGREE = 40
 #: The same for pairs that are likely links, compared first.
 LIKELY = 48
+#: Likely partners of a document in the first round, of each kind.
+BEST = 2
 #: Pairs of a pivot that are compared in one chunk.
 CHUNK = 64
 #: Words from which a text's shingles are told apart by all 64 bits of their hash instead of 48.
@@ -291,24 +293,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id", "left_semi"))
 
-    first = pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("agree", "a")), asc=False), 1, BEST), lambda x: x.a)
+    low = F.slice(F.sort_array(F.collect_list("a")), 1, BEST)
+    # a document has at most TREES * NEIGHBOURS * 2 partners, so these lists are short
+    first = pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b")
     links = materialise(confirmed(first, texts, size))
     roots = components(links)
-
-    def across() -> DataFrame:
-        end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", "agree", end("a").alias("x"), end("b").alias("y")).where("x <> y").select("a", "b", "agree", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-
-    tried = first
-    for last in (False, True):
-        open_ = materialise(across().join(tried, ["a", "b"], "left_anti"))
-        if open_.isEmpty():
-            break
-        some = open_.select("a", "b") if last else open_.groupBy("x", "y").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
-        more = materialise(confirmed(some, texts, size))
-        if not last:
-            tried = tried.unionByName(some)
+    end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(end("a") != end("b")).select("a", "b")
+    rest = materialise(across.join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = materialise(confirmed(rest, texts, size))
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     # rows that repeat an id with another text join the classes of their texts
