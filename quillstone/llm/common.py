@@ -29,6 +29,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes that cross to Python together, so that long texts don't add up in a batch.
+ARROW_BYTES = 8 << 20
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes; a smaller bound of the session stays."""
+    conf = df.sparkSession.conf
+    now = conf.get(_ARROW_CONF).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(_ARROW_CONF, str(ARROW_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def held_out(doc_id: str | Column, buckets: int, rest: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``, equals ``rest`` (false for null ids)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % buckets == rest, F.lit(False))

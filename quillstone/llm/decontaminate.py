@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import materialise
+from quillstone.llm.common import map_arrow, materialise
 
 #: Positions left free between two documents of a shard, more than a phrase and its slop can span.
 GAP = 64
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
                 shard += 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(build, INDEX_SCHEMA)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), build, INDEX_SCHEMA)
 
 
 @dataclass
@@ -226,7 +226,7 @@ def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col
                         names=["shard", "ord", "doc_id", "n_words", "hits", "items", "near"],
                     )
 
-        parts.append(index.mapInArrow(look, HIT_SCHEMA))
+        parts.append(map_arrow(index, look, HIT_SCHEMA))
         texts.clear()
         items.clear()
 

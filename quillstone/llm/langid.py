@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import held_out, materialise
+from quillstone.llm.common import held_out, map_arrow, materialise
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -140,7 +140,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("lang", "text"), run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +278,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     names=["doc_id", "lang_pred", "score", "entropy", "n"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, n long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, entropy double, n long")
 
 
 def predict(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import materialise
+from quillstone.llm.common import map_arrow, materialise
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -160,7 +160,7 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (fp, sketch(sig).view(np.int64))]
                 yield pa.record_batch([batch.column(0).slice(part.first, rows), pa.array(n, pa.int64()), lists[0], keys, lists[1]], names=["doc_id", "n_shingles", "fp", "keys", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {NODE}")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, f"doc_id long, {NODE}")
 
 
 _FOREST = ("tree", "p", "q", "node", "n", "s0", "s1", "s2")
@@ -241,8 +241,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     rows = reps.where("n > 0").select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)], F.posexplode("keys").alias("tree", "key"))
     rows = rows.select(F.col("tree").cast("long").alias("tree"), F.col("key.p").alias("p"), F.col("key.q").alias("q"), "node", "n", "s0", "s1", "s2")
     order = ["tree", "p", "q", "node"]
-    swept = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_sweep, _PAIRS))
-    edges = swept.where("part is not null").repartition("part").sortWithinPartitions("part", *order).mapInArrow(_edges, _PAIRS)
+    swept = materialise(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _sweep, _PAIRS))
+    edges = map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", *order), _edges, _PAIRS)
     return swept.where("a is not null").select("a", "b", "agree").unionByName(edges.select("a", "b", "agree")).distinct()
 
 
@@ -281,7 +281,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
     rows = members.unionByName(pivots).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(compare, "a long, b long").distinct()
+    return map_arrow(rows, compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import held_out, materialise
+from quillstone.llm.common import held_out, map_arrow, materialise
 
 STATISTICS = ("log_words", "word_length", "symbols", "exclamations", "bars", "capitals", "digits", "variety", "echoes", "repeated_triples", "stops", "line_length")
 FEATURES = 256
@@ -93,7 +93,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.record_batch([batch.column(0).slice(part.first, len(part)), rows], names=["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,7 +138,7 @@ def normal_equations(labelled: DataFrame, features: Fourier) -> np.ndarray:
             yield pa.record_batch([pa.array(list(total), pa.int32()), K.binary_column([x.tobytes() for x in total.values()])], names=["i", "v"])
 
     out = np.zeros((size, size + 1))
-    for r in labelled.select("x", "y").mapInArrow(part, "i int, v binary").repartition(16, "i").mapInArrow(add, "i int, v binary").collect():
+    for r in map_arrow(map_arrow(labelled.select("x", "y"), part, "i int, v binary").repartition(16, "i"), add, "i int, v binary").collect():
         out[r.i] = np.frombuffer(r.v)
     return out
 
@@ -175,7 +175,7 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thr
             if len(batch):
                 yield pa.record_batch([pa.array(np.rint(raw(batch.column(0)) * BINS).astype(np.int32)), batch.column(1)], names=["bin", "y"])
 
-    counted = train.mapInArrow(bins, "bin int, y double").groupBy("bin").agg(F.count("y").alias("n"), F.sum("y").alias("s")).collect()
+    counted = map_arrow(train, bins, "bin int, y double").groupBy("bin").agg(F.count("y").alias("n"), F.sum("y").alias("s")).collect()
     xs, ys = isotonic(*(np.array([float(r[k]) for r in counted]) for k in ("bin", "n", "s")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,5 +184,5 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thr
                 r = raw(batch.column(1))
                 yield pa.record_batch([batch.column(0), pa.array(np.round(np.clip(np.interp(r * BINS, xs, ys), 0, 1), 6)), pa.array(np.round(r, 6))], names=["doc_id", "score", "raw"])
 
-    out = stats.select("doc_id", "x").mapInArrow(score, "doc_id long, score double, raw double")
+    out = map_arrow(stats.select("doc_id", "x"), score, "doc_id long, score double, raw double")
     return out.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "raw")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import held_out
+from quillstone.llm.common import held_out, map_arrow
 
 SAMPLE = 3000
 WEIGHTS = 1 << 18
@@ -96,7 +96,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 yield pa.record_batch([K.binary_column(a), K.binary_column(b), batch.column(1).slice(part.first, len(part))], names=["w", "s", "y"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(run, "w binary, s binary, y double").collect()
+    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "y"), run, "w binary, s binary, y double").collect()
     return [(np.frombuffer(r.w, np.int32), np.frombuffer(r.s, np.int32), r.y) for r in rows if len(r.w)]
 
 
@@ -122,4 +122,4 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", threshol
                     bad[row[s]].append({"text": part.data[first[s] : end].tobytes().decode("utf-8", "replace").strip(), "p": float(p[s])})
                 yield pa.record_batch([batch.column(0).slice(part.first, len(part)), pa.array(np.round(np.clip(doc, 0, 1), 6)), pa.array(bad, pa.list_(pa.struct([("text", pa.string()), ("p", pa.float64())])))], names=["doc_id", "score", "sentences"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, sentences array<struct<text:string,p:double>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, score double, sentences array<struct<text:string,p:double>>")
