@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions.text import bind, col
 
@@ -47,7 +48,7 @@ def _two_places(s: Column) -> Column:
     return F.when(s.rlike(NUMBER), signed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _two_decimals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda s: None if s is None else f"{float(s):.2f}").astype(object)

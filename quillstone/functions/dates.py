@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillstone.functions.text import bind, col, squeeze
 
@@ -82,7 +83,7 @@ def normalize_date(c: str | Column, more: bool = False) -> Column:
 def fuzzy_date(default: dt.date):
     """An Arrow function from cleaned text to ISO text: month first, then day first, missing parts from ``default``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from dateutil import parser
 
