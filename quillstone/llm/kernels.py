@@ -121,6 +121,27 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of whole words and of their first n characters, a column each, and which words are that long."""
+    head = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    at = np.searchsorted(head, starts)
+    cuts = [ends] + [head[np.minimum(at + n, len(head) - 1)] for n in lengths]
+    there = np.column_stack([np.ones(len(starts), bool)] + [c < ends for c in cuts[1:]])
+    out = np.zeros((len(starts), len(cuts)), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SPAN, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        power, inverse = _power("up", _BASE, hi - lo + 1), _power("down", _INVERSE, hi - lo + 1)
+        total = np.zeros(hi - lo + 1, U64)
+        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * power[: hi - lo], out=total[1:])
+        s = starts[i:j] - lo
+        for k, cut in enumerate(cuts):
+            out[i:j, k] = mix((total[np.minimum(cut[i:j], ends[i:j]) - lo] - total[s]) * inverse[s] + U64(k))
+        i = j
+    return out, there
+
+
 def per_row(values: np.ndarray, offsets: np.ndarray, how=np.add, empty=0) -> np.ndarray:
     """``how``.reduceat over the rows given by n+1 offsets; rows without values give ``empty``."""
     out = np.full(len(offsets) - 1, empty, values.dtype)

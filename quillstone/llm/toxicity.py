@@ -1,10 +1,12 @@
 """Toxicity by multiple-instance learning over sentences.
 
 A document is a bag of sentences.  Each sentence has the probability of a
-logistic model over its words (hashed to a fixed number of weights); the
-document's is their noisy-or, 1 - prod(1 - p).  Only document labels are
-needed for training, by gradient descent on the documents' likelihood, and the
-sentence probabilities then say where the offending sentences are.
+logistic model over its words and their stems (the first 3 to 7 letters), all
+hashed to a fixed number of weights; the document's is their noisy-or,
+1 - prod(1 - p).  Only document labels are needed for training, by gradient
+descent on the documents' likelihood, and the sentence probabilities then say
+where the offending sentences are.  Steps are in proportion to the gradient,
+so that words seen once can't explain the documents that hold them.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents
 of each class, the first by a hash of their ids.  Scores cover every document.
@@ -27,22 +29,29 @@ from pyspark.sql import functions as F
 from quillstone.llm import kernels as K
 from quillstone.llm.common import held_out, map_arrow
 
-SAMPLE = 3000
-WEIGHTS = 1 << 18
-STEPS = 120
+SAMPLE = 1500
+WEIGHTS = 1 << 20
+STEPS = 200
+RATE = 0.3
+SPARSITY = 1e-3
+STEMS = (3, 4, 5, 6, 7)
+#: Features of fewer training documents get no weight.
+LEAST_DOCUMENTS = 3
 _END = K.byte_set(*((ord(c), ord(c)) for c in ".!?\n"))
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, word offsets by sentence, sentence offsets by row, and each sentence's first byte."""
+    """Bucket of each word and stem, their offsets by sentence, sentence offsets by row, and each sentence's first byte."""
     lower = K.LOWER[data]
     starts, ends, by_row = K.spans(lower, offsets, K.ALNUM)
-    bucket = (K.hash_spans(lower, starts, ends) >> K.U64(46)).astype(np.int32)
+    hashes, there = K.hash_prefixes(lower, starts, ends, STEMS)
+    bucket = (hashes[there] >> K.U64(44)).astype(np.int32)
+    before = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
     ended = np.cumsum(_END[data])
     number = ended[starts] if len(starts) else np.zeros(0, np.int64)
     row = K.row_of(by_row)
     new = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (row[1:] != row[:-1])])) if len(starts) else np.zeros(0, np.int64)
-    return bucket, np.append(new, len(bucket)), np.searchsorted(new, by_row), starts[new] if len(new) else new
+    return bucket, before[np.append(new, len(starts))], np.searchsorted(new, by_row), starts[new] if len(new) else new
 
 
 def noisy_or(weights: np.ndarray, bias: float, bucket: np.ndarray, by_sentence: np.ndarray, by_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +60,37 @@ def noisy_or(weights: np.ndarray, bias: float, bucket: np.ndarray, by_sentence:
     return p, -np.expm1(K.per_row(np.log1p(-np.minimum(p, 1 - 1e-12)), by_row))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias from (buckets, word offsets by sentence, label) of each training document."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = STEPS, rate: float = RATE, sparsity: float = SPARSITY) -> tuple[np.ndarray, float]:
+    """Weights and bias from (buckets, their offsets by sentence, label) of each training document."""
     bucket = np.concatenate([r[0] for r in rows])
     by_sentence = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(r[1]) for r in rows]))])
     by_row = np.concatenate([[0], np.cumsum([len(r[1]) - 1 for r in rows])])
     y = np.array([r[2] for r in rows])
-    names, local = np.unique(bucket, return_inverse=True)
+    documents = np.zeros(WEIGHTS, np.int32)
+    for r in rows:
+        documents[np.unique(r[0])] += 1
+    known = documents >= LEAST_DOCUMENTS
+    names = np.flatnonzero(known)
+    # features without a weight are left out before the descent
+    keep = known[bucket]
+    local = np.searchsorted(names, bucket[keep]).astype(np.int32)
+    by_sentence = np.concatenate([[0], np.cumsum(keep)])[by_sentence]
+    del bucket, keep
     share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     w, b = np.zeros(len(names)), -5.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    move, move_b = np.zeros(len(names)), 0.0
     sizes, per_doc = np.diff(by_sentence), np.diff(by_row)
-    for step in range(1, steps + 1):
+    for k in range(steps if len(names) else 0):
         p, doc = noisy_or(w, b, local, by_sentence, by_row)
         doc = np.clip(doc, 1e-9, 1 - 1e-9)
-        pull = np.where(y > 0.5, -(1 - doc) / doc, 1.0) * share
-        g = p * np.repeat(pull, per_doc)
-        grad = np.append(np.bincount(local, np.repeat(g, sizes), len(w)) + 1e-5 * w, g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        w, b = w - move[:-1], b - move[-1]
+        g = p * np.repeat(np.where(y > 0.5, -(1 - doc) / doc, 1.0) * share, per_doc)
+        grad = np.bincount(local, np.repeat(g, sizes), len(w))
+        step = rate * (1 - k / steps) / max(np.abs(grad).max(), 1e-3)
+        move = 0.9 * move - step * grad
+        w = w + move
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparsity, 0)
+        move_b = 0.9 * move_b - rate * (1 - k / steps) * np.clip(5 * g.sum(), -1, 1)
+        b = b + 0.3 * move_b
     out = np.zeros(WEIGHTS, np.float32)
     out[names] = w
     return out, float(b)
