@@ -55,7 +55,11 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The positional inverted index of ``docs``, one row a shard (see the module)."""
+    """The positional inverted index of ``docs``, one row a shard (see the module).
+
+    It is stored at once: shards are named by the partition that makes them,
+    so passes over an index that is made anew could not be put together.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -82,7 +86,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 )
                 shard += 1
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), build, INDEX_SCHEMA)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return materialise(map_arrow(texts, build, INDEX_SCHEMA))
 
 
 @dataclass
@@ -251,7 +256,7 @@ def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col
 
 def decontaminate(docs: DataFrame, tests: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items within ``slop``)."""
-    found = search(materialise(build_index(docs)), tests, window=window, slop=slop)
+    found = search(build_index(docs), tests, window=window, slop=slop)
     names = F.array_sort(F.array_distinct("items"))
     return found.select(
         "doc_id",

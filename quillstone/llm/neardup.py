@@ -14,9 +14,14 @@ any size are split over partitions; the rows at partition edges are paired in
 a second, small step.  A sketch of low bits of all values drops most pairs
 that can't reach the threshold before they leave the task.
 
-Candidate pairs are then confirmed on the full sets, in two rounds: first each
-document with a few of its likely partners, those with the smallest ids and
-those that agree most; then all pairs that still join two components.  Pairs
+A region with more rows than neighbours reach is dense, and its neighbours are
+not all pairs.  Once the components are known, all rows of such a region that
+are of different components are compared by their sketches, in blocks, so no
+pair is lost to the number of neighbours.
+
+Candidate pairs are confirmed on the full sets: first each document with a few
+of its likely partners, those with the smallest ids and those that agree most;
+then all pairs that still join two components; then those of dense regions.  Pairs
 inside a component change nothing and are not compared.  A pivot's pairs
 are salted into chunks, and streamed past the pivot's set.
 
@@ -49,10 +54,16 @@ PERCENT = 80
 TREES = 21
 DEPTH = 3
 LEVELS = 8
+DENSE = -1
 HASHES = TREES * DEPTH
 NEIGHBOURS = 10
 #: Of the rows that share all levels with a row, the nearest that it is paired with.
 SAME = 3
+#: Rows at each side of a partition's edge: enough to see any region that no side sees as dense.
+EDGE = 2 * NEIGHBOURS + 2
+#: Rows of a dense region that are compared with up to VISITORS others in one block.
+RESIDENTS = 512
+VISITORS = 1 << 16
 #: Of the 63 three-bit values of two sketches, those that must agree (0.8 expects 52, with a spread of 3).
 AGREE = 40
 #: The same for pairs that are likely links, compared first.
@@ -192,40 +203,64 @@ def _columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _FOREST]) if len(batch) else np.zeros((0, len(_FOREST)), np.int64)
 
 
-def _rows(part: int | np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None, edge: np.ndarray | None) -> pa.RecordBatch:
-    n = len(pairs[0]) if pairs is not None else len(edge)
+def _rows(part: int | None, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None, forest: np.ndarray | None) -> pa.RecordBatch:
+    """Pairs, rows beside the edge ``part``, or (without one) rows of dense regions, which agree as DENSE."""
+    n = len(pairs[0]) if pairs is not None else len(forest)
     names = ["part", "a", "b", "agree", *_FOREST]
     none = pa.nulls(n, pa.int64())
     if pairs is not None:
         a, b, agree = pairs
         return pa.record_batch([none, pa.array(a), pa.array(b), pa.array(agree, pa.int32()), *[none] * len(_FOREST)], names=names)
-    return pa.record_batch([pa.array(np.full(n, part, np.int64)), none, none, pa.nulls(n, pa.int32()), *[pa.array(np.ascontiguousarray(edge[:, i])) for i in range(len(_FOREST))]], names=names)
+    place, kind = (none, pa.array(np.full(n, DENSE, np.int32))) if part is None else (pa.array(np.full(n, part, np.int64)), pa.nulls(n, pa.int32()))
+    return pa.record_batch([place, none, none, kind, *[pa.array(np.ascontiguousarray(forest[:, i])) for i in range(len(_FOREST))]], names=names)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The region number of each sorted forest row, and the length of its region."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = (x[1:, 0] != x[:-1, 0]) | ((x[1:, 1] >> 16) != (x[:-1, 1] >> 16))
+    number = np.concatenate([[0], np.cumsum(new)])
+    return number, np.bincount(number)[number]
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within one sorted partition, and its first and last rows for the edges."""
+    """Pairs within one sorted partition, the rows of its dense regions, and its first and last rows for the edges."""
     part = TaskContext.get().partitionId()
-    tail = np.zeros((0, len(_FOREST)), np.int64)
-    head = tail
+    tail = head = pending = np.zeros((0, len(_FOREST)), np.int64)
+    dense: tuple[int, int] | None = None
     for batch in batches:
         x = _columns(batch)
-        if len(head) < NEIGHBOURS:
-            head = np.concatenate([head, x[: NEIGHBOURS - len(head)]])
+        if not len(x):
+            continue
+        if len(head) < EDGE:
+            head = np.concatenate([head, x[: EDGE - len(head)]])
         both = np.concatenate([tail, x])
-        yield _rows(0, _neighbours(both, len(tail)), None)
-        tail = both[-NEIGHBOURS:]
+        yield _rows(None, _neighbours(both, len(tail)), None)
+        tail = both[-EDGE:]
+        # regions with more rows than neighbours reach: rows wait until their region is that long, or over
+        y = np.concatenate([pending, x])
+        number, length = _runs(y)
+        full = length > NEIGHBOURS + 1
+        if dense == (y[0, 0], y[0, 1] >> 16):
+            full |= number == 0
+        yield _rows(None, None, y[full])
+        dense = (y[-1, 0], y[-1, 1] >> 16) if full[-1] else None
+        pending = y[:0] if full[-1] else y[number == number[-1]]
     if len(head):
         yield _rows(part - 1, None, head)
         yield _rows(part, None, tail)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across the edge of two partitions; rows come sorted by edge."""
+    """Pairs and dense regions across the edge of two partitions; rows come sorted by edge."""
     held = np.zeros((0, len(_FOREST) + 1), np.int64)
 
     def done(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for edge in np.unique(x[:, 0]):
-            yield _rows(0, _neighbours(x[x[:, 0] == edge][:, 1:], 0), None)
+            rows = x[x[:, 0] == edge][:, 1:]
+            yield _rows(None, _neighbours(rows, 0), None)
+            yield _rows(None, None, rows[_runs(rows)[1] > NEIGHBOURS + 1])
 
     for batch in batches:
         if len(batch):
@@ -236,14 +271,66 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(held)
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, agree) with a < b, from the neighbours of all trees."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, dense): (a, b, agree) with a < b from the neighbours of all trees, and the rows of dense regions."""
     rows = reps.where("n > 0").select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)], F.posexplode("keys").alias("tree", "key"))
     rows = rows.select(F.col("tree").cast("long").alias("tree"), F.col("key.p").alias("p"), F.col("key.q").alias("q"), "node", "n", "s0", "s1", "s2")
     order = ["tree", "p", "q", "node"]
     swept = materialise(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _sweep, _PAIRS))
-    edges = map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", *order), _edges, _PAIRS)
-    return swept.where("a is not null").select("a", "b", "agree").unionByName(edges.select("a", "b", "agree")).distinct()
+    edges = materialise(map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", *order), _edges, _PAIRS))
+    found = swept.unionByName(edges).where("part is null")
+    dense = found.where(F.col("agree") == DENSE).select("tree", F.shiftright("p", 16).alias("region"), "node", "n", "s0", "s1", "s2")
+    return found.where("a is not null").select("a", "b", "agree").distinct(), dense.distinct()
+
+
+def across_regions(dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b) of all pairs in dense regions that join two components and may be similar enough.
+
+    The largest component of a region stays where it is, dealt into blocks of
+    residents; the other rows visit every block.  So a region that is one
+    group costs nothing, and no row meets those of its own component.
+    """
+    rows = dense.join(roots.select("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    groups = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("c"))
+    regions = groups.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("most < rows")
+    rows = rows.join(regions, ["tree", "region"])
+    rows = rows.withColumn("minor", F.col("comp") != F.col("main"))
+    blocks, crowds = F.ceil(F.col("rows") / RESIDENTS), F.ceil((F.col("rows") - F.col("most")) / VISITORS)
+    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    columns = ["tree", "region", "block", "crowd", "visits", "minor", "node", "n", "s0", "s1", "s2", "comp"]
+    residents = rows.withColumn("block", dealt(1, blocks)).withColumn("crowd", F.explode(every(crowds))).withColumn("visits", F.lit(0))
+    visitors = rows.where("minor").withColumn("crowd", dealt(2, crowds)).withColumn("block", F.explode(every(blocks))).withColumn("visits", F.lit(1))
+    both = residents.select(*columns).unionByName(visitors.select(*columns)).withColumn("minor", F.col("minor").cast("long"))
+    keys = ["tree", "region", "block", "crowd"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        crowd = np.zeros((0, 6), np.int64)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*keys, "visits", "minor", "node", "n", "s0", "s1", "s2", "comp")])
+            new = np.flatnonzero(np.concatenate([[True], (x[1:, :5] != x[:-1, :5]).any(axis=1), [True]]))
+            for lo, hi in zip(new[:-1], new[1:], strict=True):
+                key, own = tuple(x[lo, :4]), x[lo:hi, 6:]
+                if key != at:
+                    at, crowd = key, np.zeros((0, 6), np.int64)
+                if x[lo, 4]:
+                    crowd = np.concatenate([crowd, own])
+                    continue
+                minor = x[lo:hi, 5] == 1
+                step = max(1, (1 << 20) // max(1, len(crowd)))
+                for i in range(0, len(own) if len(crowd) else 0, step):
+                    r, m = own[i : i + step], minor[i : i + step]
+                    n, k = np.minimum(crowd[:, None, 1], r[None, :, 1]), np.maximum(crowd[:, None, 1], r[None, :, 1])
+                    ok = (crowd[:, None, 5] != r[None, :, 5]) & (100 * n >= PERCENT * k) & (~m[None, :] | (crowd[:, None, 0] < r[None, :, 0]))
+                    v, w = np.nonzero(ok)
+                    near = agreeing(crowd[v, 2:5].view(np.uint64), r[w, 2:5].view(np.uint64)) >= AGREE
+                    a, b = crowd[v[near], 0], r[w[near], 0]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return map_arrow(both.repartition(*keys).sortWithinPartitions(*keys, F.desc("visits")), compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -289,24 +376,31 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     made = materialise(nodes(docs, size))
     usable = made.where("n_shingles > 0 and doc_id is not null")
     reps = usable.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    pairs = materialise(candidates(reps))
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(involved, "doc_id", "left_semi"))
-
+    found, dense = candidates(reps)
+    pairs = materialise(found)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("agree", "a")), asc=False), 1, BEST), lambda x: x.a)
     low = F.slice(F.sort_array(F.collect_list("a")), 1, BEST)
     # a document has at most TREES * NEIGHBOURS * 2 partners, so these lists are short
     first = pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b")
-    links = materialise(confirmed(first, texts, size))
-    roots = components(links)
+    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("node")).distinct()
+    texts = materialise(texts.join(involved, "doc_id", "left_semi"))
+    roots = components(confirmed(first, texts, size))
+
+    def joined(more: DataFrame) -> DataFrame:
+        links = materialise(confirmed(more, texts, size))
+        return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
     end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(end("a") != end("b")).select("a", "b")
     rest = materialise(across.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = materialise(confirmed(rest, texts, size))
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        roots = joined(rest)
+    if not dense.isEmpty():
+        rest = materialise(across_regions(dense, roots).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = joined(rest)
     # rows that repeat an id with another text join the classes of their texts
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp", "rep")
     member = usable.join(classes, "fp", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
