@@ -57,13 +57,13 @@ LEVELS = 8
 DENSE = -1
 HASHES = TREES * DEPTH
 NEIGHBOURS = 10
-#: Of the rows that share all levels with a row, the nearest that it is paired with.
-SAME = 3
+#: Of a dense region's rows, the nearest that a row is paired with before the region is compared across components.
+NEAREST = 3
 #: Rows at each side of a partition's edge: enough to see any region that no side sees as dense.
 EDGE = 2 * NEIGHBOURS + 2
 #: Rows of a dense region that are compared with up to VISITORS others in one block.
-RESIDENTS = 512
-VISITORS = 1 << 16
+RESIDENTS = 4096
+VISITORS = 4096
 #: Of the 63 three-bit values of two sketches, those that must agree (0.8 expects 52, with a spread of 3).
 AGREE = 40
 #: The same for pairs that are likely links, compared first.
@@ -181,7 +181,7 @@ _PAIRS = "part long, a long, b long, agree int, " + ", ".join(f"{c} long" for c
 def _neighbours(x: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs of sorted forest rows of which the second is at or after ``first_new``: (a, b, agreeing values)."""
     out = []
-    tree, p, q, node, n = (x[:, i] for i in range(5))
+    tree, p, _, node, n = (x[:, i] for i in range(5))
     s = x[:, 5:8].view(np.uint64)
     region = p >> 16
     for k in range(1, NEIGHBOURS + 1):
@@ -189,8 +189,9 @@ def _neighbours(x: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray,
         i = j - k
         ok = (tree[i] == tree[j]) & (region[i] == region[j]) & (node[i] != node[j])
         ok &= 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
-        if k > SAME:
-            ok &= (p[i] != p[j]) | (q[i] != q[j])
+        if k > NEAREST:
+            back = np.maximum(j - NEIGHBOURS - 1, 0)
+            ok &= (j <= NEIGHBOURS) | (tree[back] != tree[j]) | (region[back] != region[j])
         i, j = i[ok], j[ok]
         agree = agreeing(s[i], s[j])
         ok = agree >= AGREE
@@ -283,52 +284,79 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("a is not null").select("a", "b", "agree").distinct(), dense.distinct()
 
 
-def across_regions(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of all pairs in dense regions that join two components and may be similar enough.
+def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) between different components among all pairs of the dense regions, confirmed on the full sets.
 
-    The largest component of a region stays where it is, dealt into blocks of
-    residents; the other rows visit every block.  So a region that is one
-    group costs nothing, and no row meets those of its own component.
+    ``members`` has (node, text, regions), the last with a node's region in
+    every tree.  The largest component of a region is dealt into blocks of
+    residents; the other rows visit every block, in crowds.  A region that is
+    one component costs nothing, no row meets those of its own component, and
+    a pair is looked at in the first tree that it shares a region in.  Pairs
+    are compared where they meet; only links leave the task.
     """
     rows = dense.join(roots.select("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     groups = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("c"))
     regions = groups.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("most < rows")
-    rows = rows.join(regions, ["tree", "region"])
-    rows = rows.withColumn("minor", F.col("comp") != F.col("main"))
-    blocks, crowds = F.ceil(F.col("rows") / RESIDENTS), F.ceil((F.col("rows") - F.col("most")) / VISITORS)
+    rows = rows.join(regions, ["tree", "region"]).withColumn("minor", (F.col("comp") != F.col("main")).cast("long"))
+    blocks, crowds = F.ceil(F.col("most") / RESIDENTS), F.ceil((F.col("rows") - F.col("most")) / VISITORS)
+    # in one block and crowd the visitors meet each other; else they are residents as well
+    rows = rows.withColumn("alone", ((blocks == 1) & (crowds == 1)).cast("long"))
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    columns = ["tree", "region", "block", "crowd", "visits", "minor", "node", "n", "s0", "s1", "s2", "comp"]
-    residents = rows.withColumn("block", dealt(1, blocks)).withColumn("crowd", F.explode(every(crowds))).withColumn("visits", F.lit(0))
-    visitors = rows.where("minor").withColumn("crowd", dealt(2, crowds)).withColumn("block", F.explode(every(blocks))).withColumn("visits", F.lit(1))
-    both = residents.select(*columns).unionByName(visitors.select(*columns)).withColumn("minor", F.col("minor").cast("long"))
     keys = ["tree", "region", "block", "crowd"]
+    columns = [*keys, "visits", "alone", "minor", "node", "n", "s0", "s1", "s2", "comp"]
+    residents = rows.where("minor = 0 or alone = 0").withColumn("block", dealt(1, blocks)).withColumn("crowd", F.explode(every(crowds))).withColumn("visits", F.lit(0).cast("long"))
+    visitors = rows.where("minor = 1").withColumn("crowd", dealt(2, crowds)).withColumn("block", F.explode(every(blocks))).withColumn("visits", F.lit(1).cast("long"))
+    both = residents.select(*columns).unionByName(visitors.select(*columns)).join(members, "node").select(*columns, "text", "regions")
+
+    def near(tree: int, a: tuple, b: tuple) -> list[tuple[int, int]]:
+        """Links between the rows of two tables (numbers, regions, sets)."""
+        out = []
+        (x, xr, xs), (y, yr, ys) = a, b
+        step = max(1, (1 << 19) // max(1, len(x)))
+        for i in range(0, len(y) if len(x) else 0, step):
+            z = y[i : i + step]
+            small, large = np.minimum(x[:, None, 2], z[None, :, 2]), np.maximum(x[:, None, 2], z[None, :, 2])
+            ok = (x[:, None, 6] != z[None, :, 6]) & (100 * small >= PERCENT * large)
+            # two minor rows meet twice, once from each side
+            ok &= (z[None, :, 0] == 0) | (x[:, None, 1] < z[None, :, 1])
+            v, w = np.nonzero(ok)
+            keep = agreeing(x[v, 3:6].view(np.uint64), z[w, 3:6].view(np.uint64)) >= AGREE
+            v, w = v[keep], w[keep]
+            keep = (xr[v] == yr[i + w]).argmax(axis=1) == tree
+            for p, q in zip(v[keep], w[keep], strict=True):
+                own, other = xs[p], ys[i + q]
+                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                common = int((other[at] == own).sum())
+                if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                    out.append((int(x[p, 1]), int(z[q, 1])))
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple | None = None
-        crowd = np.zeros((0, 6), np.int64)
+        none = np.zeros((0, 7), np.int64), np.zeros((0, TREES), np.int64), []
+        at, crowd, met = None, none, True
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*keys, "visits", "minor", "node", "n", "s0", "s1", "s2", "comp")])
-            new = np.flatnonzero(np.concatenate([[True], (x[1:, :5] != x[:-1, :5]).any(axis=1), [True]]))
-            for lo, hi in zip(new[:-1], new[1:], strict=True):
-                key, own = tuple(x[lo, :4]), x[lo:hi, 6:]
-                if key != at:
-                    at, crowd = key, np.zeros((0, 6), np.int64)
-                if x[lo, 4]:
-                    crowd = np.concatenate([crowd, own])
-                    continue
-                minor = x[lo:hi, 5] == 1
-                step = max(1, (1 << 20) // max(1, len(crowd)))
-                for i in range(0, len(own) if len(crowd) else 0, step):
-                    r, m = own[i : i + step], minor[i : i + step]
-                    n, k = np.minimum(crowd[:, None, 1], r[None, :, 1]), np.maximum(crowd[:, None, 1], r[None, :, 1])
-                    ok = (crowd[:, None, 5] != r[None, :, 5]) & (100 * n >= PERCENT * k) & (~m[None, :] | (crowd[:, None, 0] < r[None, :, 0]))
-                    v, w = np.nonzero(ok)
-                    near = agreeing(crowd[v, 2:5].view(np.uint64), r[w, 2:5].view(np.uint64)) >= AGREE
-                    a, b = crowd[v[near], 0], r[w[near], 0]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            found: list[tuple[int, int]] = []
+            numbers = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]) if len(batch) else np.zeros((0, len(columns)), np.int64)
+            inside = batch.column("regions").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), TREES)
+            for part in K.slices(batch.column("text")):
+                values, by = shingles(part.data, part.offsets, size)
+                sets = [np.unique(values[by[i] : by[i + 1]]) for i in range(len(part))]
+                x, regions = numbers[part.first : part.first + len(part)], inside[part.first : part.first + len(part)]
+                new = np.flatnonzero(np.concatenate([[True], (x[1:, :5] != x[:-1, :5]).any(axis=1), [True]]))
+                for lo, hi in zip(new[:-1], new[1:], strict=True):
+                    key, own = tuple(x[lo, :4]), (x[lo:hi, 6:], regions[lo:hi], sets[lo:hi])
+                    if key != at:
+                        if not met:
+                            found += near(at[0], crowd, crowd)
+                        at, crowd, met = key, none, not x[lo, 5]
+                    if x[lo, 4]:
+                        crowd = np.concatenate([crowd[0], own[0]]), np.concatenate([crowd[1], own[1]]), crowd[2] + own[2]
+                    else:
+                        found += near(key[0], crowd, own)
+            yield pa.record_batch([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+        found = near(at[0], crowd, crowd) if not met else []
+        yield pa.record_batch([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
     return map_arrow(both.repartition(*keys).sortWithinPartitions(*keys, F.desc("visits")), compare, "a long, b long").distinct()
 
@@ -387,20 +415,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     texts = materialise(texts.join(involved, "doc_id", "left_semi"))
     roots = components(confirmed(first, texts, size))
 
-    def joined(more: DataFrame) -> DataFrame:
-        links = materialise(confirmed(more, texts, size))
+    def with_links(more: DataFrame) -> DataFrame:
+        links = materialise(more)
         return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
     end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(end("a") != end("b")).select("a", "b")
-    rest = materialise(across.join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = joined(rest)
+    roots = with_links(confirmed(across.join(first, ["a", "b"], "left_anti"), texts, size))
     if not dense.isEmpty():
-        rest = materialise(across_regions(dense, roots).join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            roots = joined(rest)
+        members = texts.join(reps.select("node", F.transform("keys", lambda k: F.shiftright(k.p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
+        roots = with_links(across_regions(dense, roots, members, size))
     # rows that repeat an id with another text join the classes of their texts
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp", "rep")
     member = usable.join(classes, "fp", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
