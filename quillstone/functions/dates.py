@@ -23,23 +23,25 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 _FULL = "|".join(MONTHS)
 _SHORT = "|".join(m[:3] for m in MONTHS)
 
+_M, _D, _Y = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])", r"((?!0000)\d{4})"
+
 #: Fixed values: (format, pattern, group of year, month, day) in the order in which they are tried.
 FORMATS = (
-    ("%m/%d/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 1, 2),
-    ("%d/%m/%Y", r"^(\d{1,2})/(\d{1,2})/(\d{4})$", 3, 2, 1),
-    ("%Y-%m-%d", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", 1, 2, 3),
-    ("%B %d, %Y", rf"^({_FULL}) (\d{{1,2}}), (\d{{4}})$", 3, 1, 2),
-    ("%b %d, %Y", rf"^({_SHORT}) (\d{{1,2}}), (\d{{4}})$", 3, 1, 2),
-    ("%d %B %Y", rf"^(\d{{1,2}}) ({_FULL}) (\d{{4}})$", 3, 2, 1),
-    ("%d-%m-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 2, 1),
-    ("%m-%d-%Y", r"^(\d{1,2})-(\d{1,2})-(\d{4})$", 3, 1, 2),
-    ("%d.%m.%Y", r"^(\d{1,2})\.(\d{1,2})\.(\d{4})$", 3, 2, 1),
+    ("%m/%d/%Y", rf"^{_M}/{_D}/{_Y}$", 3, 1, 2),
+    ("%d/%m/%Y", rf"^{_D}/{_M}/{_Y}$", 3, 2, 1),
+    ("%Y-%m-%d", rf"^{_Y}-{_M}-{_D}$", 1, 2, 3),
+    ("%B %d, %Y", rf"^({_FULL}) {_D}, {_Y}$", 3, 1, 2),
+    ("%b %d, %Y", rf"^({_SHORT}) {_D}, {_Y}$", 3, 1, 2),
+    ("%d %B %Y", rf"^{_D} ({_FULL}) {_Y}$", 3, 2, 1),
+    ("%d-%m-%Y", rf"^{_D}-{_M}-{_Y}$", 3, 2, 1),
+    ("%m-%d-%Y", rf"^{_M}-{_D}-{_Y}$", 3, 1, 2),
+    ("%d.%m.%Y", rf"^{_D}\.{_M}\.{_Y}$", 3, 2, 1),
 )
 #: Frequent forms that would otherwise go to the fuzzy parser, with the result that it gives.
 MORE_FORMATS = (
-    ("%d %b %Y", rf"^(\d{{1,2}}) ({_SHORT}) (\d{{4}})$", 3, 2, 1),
-    ("%b %d %Y", rf"^({_FULL}|{_SHORT}) (\d{{1,2}}) (\d{{4}})$", 3, 1, 2),
-    ("ISO", r"^(\d{4})-(\d{2})-(\d{2})[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?$", 1, 2, 3),
+    ("%d %b %Y", rf"^{_D} ({_SHORT}) {_Y}$", 3, 2, 1),
+    ("%b %d %Y", rf"^({_FULL}|{_SHORT}) {_D} {_Y}$", 3, 1, 2),
+    ("ISO", rf"^{_Y}-{_M}-{_D}[T ]\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?$", 1, 2, 3),
 )
 #: Patterns of dates inside text, in the order in which they are tried.
 IN_TEXT = (
@@ -64,9 +66,9 @@ def _month(c: Column) -> Column:
 
 
 def _parsed(s: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    # text that does not fit gives empty parts, which are no date; nor is the year 0
-    part = lambda g: F.regexp_extract(s, f"(?i)^(?!.*(?<!\\d)0000(?!\\d)){pattern[1:]}", g)
-    return F.try_to_date(F.concat_ws("-", part(year), _month(part(month)), F.lpad(part(day), 2, "0")), "yyyy-MM-dd")
+    part = lambda g: F.regexp_extract(s, f"(?i){pattern}", g)
+    # failed conversions are slow, so only text that fits is converted; days like 30 February remain
+    return F.when(part(year) != "", F.try_to_date(F.concat_ws("-", part(year), _month(part(month)), F.lpad(part(day), 2, "0")), "yyyy-MM-dd"))
 
 
 def explicit_date(s: Column, formats: tuple = FORMATS) -> Column:

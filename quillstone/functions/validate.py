@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.config import FIELDS
 from quillstone.functions.dates import strict_iso
-from quillstone.functions.text import col, is_empty, strip
+from quillstone.functions.text import bind, col, is_empty, strip
 
 #: Years and amounts that are plausible.
 YEARS = (2000, 2100)
@@ -31,26 +31,32 @@ def verdict(*tests: tuple[Column, str | Column], good: str) -> Column:
 
 def date_verdict(c: str | Column) -> Column:
     c = col(c)
-    year = F.year(strict_iso(c))
-    return verdict(
-        (is_empty(c), "Date is empty"),
-        (strict_iso(c).isNull(), F.concat(F.lit("Invalid date format: "), c)),
-        (year < YEARS[0], F.format_string("Year %d is too old", year)),
-        (year > YEARS[1], F.format_string("Year %d is too far in future", year)),
-        good="Valid date",
-    )
+
+    def of(year: Column) -> Column:
+        return verdict(
+            (is_empty(c), "Date is empty"),
+            (year.isNull(), F.concat(F.lit("Invalid date format: "), c)),
+            (year < YEARS[0], F.format_string("Year %d is too old", year)),
+            (year > YEARS[1], F.format_string("Year %d is too far in future", year)),
+            good="Valid date",
+        )
+
+    return bind(F.year(strict_iso(c)), of)
 
 
 def amount_verdict(c: str | Column) -> Column:
     c = col(c)
-    value = F.when(c.rlike(FLOAT), strip(c).try_cast("double"))
-    return verdict(
-        (is_empty(c), "Amount is empty"),
-        (value.isNull(), F.concat(F.lit("Could not parse amount: "), c)),
-        (value < AMOUNTS[0], "Amount cannot be negative"),
-        (value > AMOUNTS[1], F.concat(F.lit("Amount "), value.cast("string"), F.lit(" exceeds maximum"))),
-        good="Valid amount",
-    )
+
+    def of(value: Column) -> Column:
+        return verdict(
+            (is_empty(c), "Amount is empty"),
+            (value.isNull(), F.concat(F.lit("Could not parse amount: "), c)),
+            (value < AMOUNTS[0], "Amount cannot be negative"),
+            (value > AMOUNTS[1], F.concat(F.lit("Amount "), value.cast("string"), F.lit(" exceeds maximum"))),
+            good="Valid amount",
+        )
+
+    return bind(F.when(c.rlike(FLOAT), strip(c).try_cast("double")), of)
 
 
 def number_verdict(c: str | Column) -> Column:
@@ -99,9 +105,11 @@ def reasonable_total(c: str | Column) -> Column:
 
 
 def due_after_invoice(invoice: str | Column, due: str | Column) -> Column:
-    a, b = strict_iso(invoice), strict_iso(due)
-    msg = F.when(b < a, "Due date is before invoice date").when(b >= a, "Valid date relationship").otherwise("Could not validate date relationship")
-    return F.struct(F.coalesce(b >= a, F.lit(True)).alias("ok"), msg.alias("msg"))
+    def of(later: Column) -> Column:
+        msg = F.when(~later, "Due date is before invoice date").when(later, "Valid date relationship").otherwise("Could not validate date relationship")
+        return F.struct(F.coalesce(later, F.lit(True)).alias("ok"), msg.alias("msg"))
+
+    return bind(strict_iso(due) >= strict_iso(invoice), of)
 
 
 def missing_fields(required: tuple[str, ...] | list[str]) -> Column:
@@ -119,12 +127,17 @@ def low_confidence(scores: str | Column, threshold: float) -> Column:
 def validation(required: tuple[str, ...] | list[str] = ("invoice_number", "total_amount"), threshold: float = 0.5, scores: str | None = "confidence_scores") -> Column:
     """The struct of :data:`quillstone.schema.VALIDATION` for a row with the six fields."""
     verdicts = [F.struct(F.lit(f).alias("key"), field_verdict(f).alias("value")) for f in FIELDS]
-    given = [F.when(~is_empty(f), v) for f, v in zip(FIELDS, verdicts, strict=True)]
-    results = F.map_from_entries(F.filter(F.array(*given), lambda x: x.isNotNull()))
-    bad = F.transform(F.filter(F.map_entries(results), lambda e: ~e.value.ok), lambda e: F.concat(e.key, F.lit(": "), e.value.msg))
+    given = F.filter(F.array(*[F.when(~is_empty(f), v) for f, v in zip(FIELDS, verdicts, strict=True)]), lambda x: x.isNotNull())
+    return bind(given, lambda g: _record(g, required, threshold, scores))
+
+
+def _record(given: Column, required: tuple[str, ...] | list[str], threshold: float, scores: str | None) -> Column:
+    """The struct from the verdicts of the fields that are given."""
+    bad = F.transform(F.filter(given, lambda e: ~e.value.ok), lambda e: F.concat(e.key, F.lit(": "), e.value.msg))
     missing = F.transform(missing_fields(required), lambda f: F.concat(F.lit("Required field missing: "), f))
-    errors = F.concat(bad, missing)
-    due = due_after_invoice("invoice_date", "payment_due_date")
-    late = F.when(~is_empty("invoice_date") & ~is_empty("payment_due_date") & ~due.ok, F.array(due.msg)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    both = ~is_empty("invoice_date") & ~is_empty("payment_due_date")
+    late = F.when(both, bind(due_after_invoice("invoice_date", "payment_due_date"), lambda due: F.when(~due.ok, F.array(due.msg)))).otherwise(none)
     low = F.transform(low_confidence(scores, threshold), lambda x: F.concat(F.lit("Low confidence: "), x)) if scores else F.array().cast("array<string>")
-    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), F.concat(low, late).alias("warnings"), results.alias("field_results"))
+    rest = F.struct(F.concat(low, F.coalesce(late, none)).alias("warnings"), F.map_from_entries(given).alias("field_results"))
+    return bind(F.concat(bad, missing), lambda errors: F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), rest.warnings.alias("warnings"), rest.field_results.alias("field_results")))

@@ -54,14 +54,23 @@ def compared(pairs: DataFrame, keys: list[str], threshold: float = 0.8, fields:
     return pairs.select(*keys, F.explode(F.array(*parts)).alias("c")).select(*keys, "c.*")
 
 
-def field_metrics(rows: DataFrame, order: str = "idx") -> DataFrame:
-    """Counts and rates by field.  Matches count only where something was extracted; rates are of all samples."""
+def confidences(pairs: DataFrame, order: str = "idx", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, place, confidence) alone, for running confidence without comparing anything."""
+    each = [F.struct(F.lit(f).alias("field"), (F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0)) if f"{f}_confidence" in pairs.columns else F.lit(0.0)).alias("confidence")) for f in fields]
+    return pairs.select(order, F.explode(F.array(*each)).alias("c")).select("c.field", order, "c.confidence")
+
+
+def field_metrics(rows: DataFrame, order: str = "idx", scores: DataFrame | None = None) -> DataFrame:
+    """Counts and rates by field.  Matches count only where something was extracted; rates are of all samples.
+
+    ``scores``, as :func:`confidences` gives them, spares a second comparison.
+    """
     hit = lambda c: F.count_if(F.col(c) & F.col("extracted"))
     n = F.count("*")
     counted = rows.groupBy("field").agg(n.alias("total_samples"), F.count_if("extracted").alias("extracted_count"), F.count_if(~F.col("extracted")).alias("missing_count"), hit("exact").alias("correct_count"), hit("partial").alias("partial_match_count"))
     rate = lambda c: F.col(c) / F.col("total_samples")
     counted = counted.withColumns({"extraction_rate": rate("extracted_count"), "missing_rate": rate("missing_count"), "accuracy": rate("correct_count"), "partial_accuracy": rate("partial_match_count")})
-    return counted.join(running_confidence(rows, order), "field")
+    return counted.join(running_confidence(rows if scores is None else scores, order), "field", "left").withColumn("avg_confidence", F.coalesce("avg_confidence", F.lit(0.0)))
 
 
 def running_confidence(rows: DataFrame, order: str = "idx") -> DataFrame:
@@ -72,18 +81,18 @@ def running_confidence(rows: DataFrame, order: str = "idx") -> DataFrame:
     j / (j + 1) over the later scored places.  The logarithms of those factors
     are summed, so no list of a field's rows is ever gathered.
     """
-    scored = rows.where("confidence > 0").select("field", F.col(order).cast("long").alias("i"), "confidence")
+    # rows without a score weigh 0 and pass the average on, so fields without any score still have a row
+    scored = rows.select("field", F.col(order).cast("long").alias("i"), F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(0.0).alias("confidence"))
     # prefix sums by block of places and then over the blocks; a field is no single task
     block = F.floor(F.col("i") / 8192)
-    scored = scored.withColumn("block", block).withColumn("log", F.when(F.col("i") > 0, F.log(F.col("i") / (F.col("i") + 1))).otherwise(F.lit(0.0)))
+    scored = scored.withColumn("block", block).withColumn("log", F.when((F.col("i") > 0) & (F.col("confidence") > 0), F.log(F.col("i") / (F.col("i") + 1))).otherwise(F.lit(0.0)))
     after = Window.partitionBy("field", "block").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy("field").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    # the first scored place resets what came before it only if it is place 0, where the old average is 0 anyway
+    # place 0 would forget what came before it, which is nothing
     inner = scored.withColumn("tail", F.coalesce(F.sum("log").over(after), F.lit(0.0)))
     blocks = inner.groupBy("field", "block").agg(F.sum("log").alias("sum"), F.sum(F.col("confidence") / (F.col("i") + 1) * F.exp("tail")).alias("part"))
     ends = blocks.withColumn("tail", F.coalesce(F.sum("sum").over(later), F.lit(0.0)))
-    found = ends.groupBy("field").agg(F.sum(F.col("part") * F.exp("tail")).alias("avg_confidence"))
-    return rows.select("field").distinct().join(found, "field", "left").select("field", F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
+    return ends.groupBy("field").agg(F.sum(F.col("part") * F.exp("tail")).alias("avg_confidence"))
 
 
 def overall(metrics: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def overall(metrics: DataFrame) -> DataFrame:
 
 def evaluate(predictions: DataFrame, truth: DataFrame, order: str = "idx", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(field metrics, overall) of predictions looked up by file name."""
-    metrics = field_metrics(compared(lookup(predictions, truth, order), [order], threshold), order)
+    metrics = field_metrics(compared(lookup(predictions, truth, order), [order], threshold), order, confidences(predictions, order))
     return metrics, overall(metrics)
 
 

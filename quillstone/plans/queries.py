@@ -465,7 +465,7 @@ _RATE_NAMES = ("extraction_rate", "missing_rate", "accuracy", "partial_accuracy"
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = evaluate.field_metrics(evaluate.compared(_pairs(spark, sf_dir), ["idx"]))
+    m = evaluate.field_metrics(evaluate.compared(_pairs(spark, sf_dir), ["idx"]), scores=evaluate.confidences(fx.predictions(spark, sf_dir)))
     return m.withColumns({c: F.round(c, 9) for c in _RATE_NAMES}).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
@@ -482,7 +482,7 @@ def eval_overall(spark, sf_dir):
 
 @_query(f"{_COMPARED} SELECT field, {_RUNNING} AS avg_confidence FROM compared GROUP BY field")
 def eval_running_confidence(spark, sf_dir):
-    rows = evaluate.running_confidence(evaluate.compared(_pairs(spark, sf_dir), ["idx"]))
+    rows = evaluate.running_confidence(evaluate.confidences(fx.predictions(spark, sf_dir)))
     return rows.withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
