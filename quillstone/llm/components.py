@@ -3,6 +3,9 @@
 Alternating large-star and small-star steps: each step joins links with the
 smallest neighbour of one end, which is a map-side combined minimum, and the
 number of links never grows.  Nothing is collected but sums for the end test.
+
+Few links are kept in few partitions (one for each TOGETHER of them), as every
+step shuffles, and a shuffle writes a file for each partition that it reads.
 """
 
 from __future__ import annotations
@@ -13,6 +16,10 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import materialise
 
 
+#: Links that a partition holds at least, where there are as many.
+TOGETHER = 200_000
+
+
 def _sums(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
 
@@ -24,12 +31,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     for _ in range(most):
         if not before[0]:
             break
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = -(-before[0] // TOGETHER)
+        links = links.coalesce(few)
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * few)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = materialise(small)
+        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct()
+        links = materialise(small.coalesce(few))
         after = _sums(links)
         if after == before:
             break

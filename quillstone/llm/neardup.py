@@ -81,7 +81,8 @@ _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.int64).astype(np.uint32)
 _ORDER = (np.arange(TREES)[:, None] * DEPTH + np.arange(LEVELS)[None, :]) % HASHES
 _THREE = sum(1 << (3 * i) for i in range(21))
 
-NODE = "n_shingles long, fp array<long>, keys array<struct<p:long,q:long>>, sketch array<long>"
+#: keys: eight 16-bit values in two longs, for each tree.
+NODE = "n_shingles long, fp array<long>, keys array<long>, sketch array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +155,6 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def nodes(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, fp (128 bits of the set), keys (of each tree) and sketch of every document."""
-    kinds = pa.struct([("p", pa.int64()), ("q", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(1)):
@@ -165,17 +164,16 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
                 sig = signature(values, by)
                 short = ((sig.astype(K.U64) >> K.U64(3)) & K.U64(0xFFFF))[:, _ORDER]
                 shift = K.U64(16) * np.array([3, 2, 1, 0], K.U64)
-                p, q = ((short[:, :, s] << shift).sum(axis=2, dtype=K.U64).view(np.int64).ravel() for s in (slice(0, 4), slice(4, 8)))
+                keys = (short.reshape(len(part), TREES, 2, 4) << shift).sum(axis=3, dtype=K.U64).view(np.int64).reshape(len(part), 2 * TREES)
                 rows = len(part)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * TREES, pa.int32()), pa.StructArray.from_arrays([pa.array(p), pa.array(q)], fields=list(kinds)))
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (fp, sketch(sig).view(np.int64))]
-                yield pa.record_batch([batch.column(0).slice(part.first, rows), pa.array(n, pa.int64()), lists[0], keys, lists[1]], names=["doc_id", "n_shingles", "fp", "keys", "sketch"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (fp, keys, sketch(sig).view(np.int64))]
+                yield pa.record_batch([batch.column(0).slice(part.first, rows), pa.array(n, pa.int64()), *lists], names=["doc_id", "n_shingles", "fp", "keys", "sketch"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, f"doc_id long, {NODE}")
 
 
 _FOREST = ("tree", "p", "q", "node", "n", "s0", "s1", "s2")
-_PAIRS = "part long, a long, b long, agree int, " + ", ".join(f"{c} long" for c in _FOREST)
+_PAIRS = "part long, a long, b long, agree int, forest array<long>"
 
 
 def _neighbours(x: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,19 +199,23 @@ def _neighbours(x: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _columns(batch: pa.RecordBatch) -> np.ndarray:
+    """Forest rows as a table, from their columns or from lists."""
+    if "forest" in batch.schema.names:
+        return batch.column("forest").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(batch), len(_FOREST))
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _FOREST]) if len(batch) else np.zeros((0, len(_FOREST)), np.int64)
 
 
 def _rows(part: int | None, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None, forest: np.ndarray | None) -> pa.RecordBatch:
     """Pairs, rows beside the edge ``part``, or (without one) rows of dense regions, which agree as DENSE."""
     n = len(pairs[0]) if pairs is not None else len(forest)
-    names = ["part", "a", "b", "agree", *_FOREST]
+    names = ["part", "a", "b", "agree", "forest"]
     none = pa.nulls(n, pa.int64())
     if pairs is not None:
         a, b, agree = pairs
-        return pa.record_batch([none, pa.array(a), pa.array(b), pa.array(agree, pa.int32()), *[none] * len(_FOREST)], names=names)
+        return pa.record_batch([none, pa.array(a), pa.array(b), pa.array(agree, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=names)
     place, kind = (none, pa.array(np.full(n, DENSE, np.int32))) if part is None else (pa.array(np.full(n, part, np.int64)), pa.nulls(n, pa.int32()))
-    return pa.record_batch([place, none, none, kind, *[pa.array(np.ascontiguousarray(forest[:, i])) for i in range(len(_FOREST))]], names=names)
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(_FOREST), pa.int32()), pa.array(np.ascontiguousarray(forest).ravel(), pa.int64()))
+    return pa.record_batch([place, none, none, kind, rows], names=names)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,13 +276,14 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, dense): (a, b, agree) with a < b from the neighbours of all trees, and the rows of dense regions."""
-    rows = reps.where("n > 0").select("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)], F.posexplode("keys").alias("tree", "key"))
-    rows = rows.select(F.col("tree").cast("long").alias("tree"), F.col("key.p").alias("p"), F.col("key.q").alias("q"), "node", "n", "s0", "s1", "s2")
+    rows = reps.select("node", "n", "keys", *[F.col("sketch")[i].alias(f"s{i}") for i in range(3)], F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = rows.select(F.col("tree").cast("long").alias("tree"), F.get("keys", 2 * F.col("tree")).alias("p"), F.get("keys", 2 * F.col("tree") + 1).alias("q"), "node", "n", "s0", "s1", "s2")
     order = ["tree", "p", "q", "node"]
     swept = materialise(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _sweep, _PAIRS))
-    edges = materialise(map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", *order), _edges, _PAIRS))
+    edges = materialise(map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", "forest"), _edges, _PAIRS))
     found = swept.unionByName(edges).where("part is null")
-    dense = found.where(F.col("agree") == DENSE).select("tree", F.shiftright("p", 16).alias("region"), "node", "n", "s0", "s1", "s2")
+    place = {c: F.get("forest", F.lit(i)).alias(c) for i, c in enumerate(_FOREST)}
+    dense = found.where(F.col("agree") == DENSE).select(*place.values()).select("tree", F.shiftright("p", 16).alias("region"), "node", "n", "s0", "s1", "s2")
     return found.where("a is not null").select("a", "b", "agree").distinct(), dense.distinct()
 
 
@@ -424,7 +427,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(end("a") != end("b")).select("a", "b")
     roots = with_links(confirmed(across.join(first, ["a", "b"], "left_anti"), texts, size))
     if not dense.isEmpty():
-        members = texts.join(reps.select("node", F.transform("keys", lambda k: F.shiftright(k.p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
+        members = texts.join(reps.select("node", F.transform(F.filter("keys", lambda _, i: i % 2 == 0), lambda p: F.shiftright(p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
         roots = with_links(across_regions(dense, roots, members, size))
     # rows that repeat an id with another text join the classes of their texts
     classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp", "rep")
