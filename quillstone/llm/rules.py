@@ -2,9 +2,11 @@
 
 Each rule reads a few counts of a document and votes 1 (good), -1 (bad) or 0
 (abstains).  Expectation-maximisation over the votes of all documents, without
-any label, estimates the share of good documents and how often each rule that
-votes is right; the posterior probability of being good then replaces the
-usual demand that all rules pass.  The driver only ever sees the number of
+any label, estimates the share of good documents and each rule's accuracy on
+either side: how often it votes which way on good and on bad documents.  A
+rare vote against that good documents hardly ever get thus weighs more than
+many common votes for.  The posterior probability of being good then replaces
+the usual demand that all rules pass.  The driver only ever sees the number of
 documents by vote pattern, at most 3 to the number of rules.
 
 Repeated three-word windows are found through their 64-bit hashes, within one
@@ -24,14 +26,16 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import BLANK, materialise
 
-ITERATIONS = 50
-#: Limits of the estimates: a rule is better than chance and never infallible; most documents may be good, not all.
-ACCURACY = (0.6, 0.97)
-PRIOR = (0.5, 0.95)
+ITERATIONS = 60
+#: Limits of the share of good documents, and pseudo-counts of the votes: a rule always may err.
+PRIOR = (0.5, 0.98)
+SMOOTH = 0.002
+#: First guess of being good without and with a vote against.
+GUESS = (0.95, 0.3)
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_shouts, n_stops."""
+    """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_shouts, n_stops, n_letters, n_marked."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = lambda chars: F.length(F.regexp_replace("text", rf"[^{chars}]+", ""))
     df = docs.select("doc_id", text.alias("text"))
@@ -60,6 +64,9 @@ def counts(docs: DataFrame) -> DataFrame:
         kept("A-Z").cast("long").alias("n_capitals"),
         kept("!").cast("long").alias("n_shouts"),
         kept(".?").cast("long").alias("n_stops"),
+        kept(r"\p{L}").cast("long").alias("n_letters"),
+        # words that hold one of the symbols
+        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]")).cast("long").alias("n_marked"),
     )
 
 
@@ -78,6 +85,8 @@ def rules() -> dict[str, Column]:
     return {
         "enough_words": vote(words, c("n_words") < 50, c("n_words") >= 80),
         "few_symbols": low(c("n_symbols") / chars, 0.005, 0.03),
+        "few_marked_words": low(c("n_marked") / words, 0.02, 0.15),
+        "mostly_letters": vote(words, c("n_letters") * 100 < 80 * c("word_chars"), c("n_letters") * 100 >= 90 * c("word_chars")),
         "new_lines": low(c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)), 0.0, 0.2),
         "new_windows": low(c("n_repeat_words") / words, 0.1, 0.3),
         "few_capitals": low(c("n_capitals") / chars, 0.1, 0.3),
@@ -87,26 +96,39 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, iterations: int = ITERATIONS) -> tuple[float, list[float]]:
-    """(share of good documents, accuracy of each rule) by expectation-maximisation over vote patterns."""
-    prior, right = 0.8, [0.8] * n_rules
-    held = lambda x, lo_hi: min(max(x, lo_hi[0]), lo_hi[1])
-    for _ in range(iterations if patterns else 0):
-        good = total = 0.0
-        agree, voted = [0.0] * n_rules, [0.0] * n_rules
-        for votes, n in patterns:
-            z = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, right, strict=True))
-            p = 1 / (1 + math.exp(-z))
-            good += n * p
-            total += n
-            for j, v in enumerate(votes):
-                if v:
-                    voted[j] += n
-                    agree[j] += n * (p if v > 0 else 1 - p)
-        prior = held(good / total, PRIOR)
-        # as many pseudo-votes at the first guess as keep a rule that hardly votes from running away
-        right = [held((a + 8) / (v + 10), ACCURACY) for a, v in zip(agree, voted, strict=True)]
-    return prior, right
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, iterations: int = ITERATIONS) -> tuple[float, list[dict[int, float]]]:
+    """(share of good documents, log odds of being good by rule and vote) by expectation-maximisation over vote patterns.
+
+    A vote against never speaks for a document, nor a vote for against it;
+    abstaining says nothing.
+    """
+    none = [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in range(n_rules)]
+    if not patterns:
+        return 0.8, none
+    good = [GUESS[-1 in votes] for votes, _ in patterns]
+    total = sum(n for _, n in patterns)
+    prior, odds = 0.8, none
+    for _ in range(iterations):
+        n_good = sum(n * p for (_, n), p in zip(patterns, good, strict=True))
+        prior = min(max(n_good / total, PRIOR[0]), PRIOR[1])
+        odds = []
+        for j in range(n_rules):
+            seen = {(v, y): 0.0 for v in (-1, 1) for y in (0, 1)}
+            for (votes, n), p in zip(patterns, good, strict=True):
+                if votes[j]:
+                    seen[votes[j], 1] += n * p
+                    seen[votes[j], 0] += n * (1 - p)
+            voted = [seen[-1, y] + seen[1, y] for y in (0, 1)]
+            rate = {(v, y): (seen[v, y] + SMOOTH * total * 0.5) / (voted[y] + SMOOTH * total) for v, y in seen}
+            against, in_favour = (math.log(rate[v, 1] / rate[v, 0]) for v in (-1, 1))
+            odds.append({-1: min(against, 0.0), 0: 0.0, 1: max(in_favour, 0.0)})
+        good = [posterior(prior, odds, votes) for votes, _ in patterns]
+    return prior, odds
+
+
+def posterior(prior: float, odds: list[dict[int, float]], votes: tuple[int, ...]) -> float:
+    z = math.log(prior / (1 - prior)) + sum(o[v] for o, v in zip(odds, votes, strict=True))
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -115,10 +137,10 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     counted = materialise(counts(docs).select("*", *[v.alias(f"vote_{k}") for k, v in votes.items()]))
     names = [f"vote_{k}" for k in votes]
     patterns = [(tuple(r[n] for n in names), r["count"]) for r in counted.groupBy(*names).count().collect()]
-    prior, right = estimate(sorted(patterns), len(names))
+    prior, weights = estimate(sorted(patterns), len(names))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for n, a in zip(names, right, strict=True):
-        odds = odds + F.col(n) * F.lit(math.log(a / (1 - a)))
+    for n, w in zip(names, weights, strict=True):
+        odds = odds + F.when(F.col(n) < 0, w[-1]).when(F.col(n) > 0, w[1]).otherwise(0.0)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))

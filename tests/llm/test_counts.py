@@ -86,19 +86,24 @@ def test_rules_keep_good_documents_and_drop_junk(spark, documents, labels):
     kept = {r.doc_id: r.kept for r in rules.judge(documents).where("not base_failed").collect()}
     quality = {r.doc_id: r.quality for r in labels.collect()}
     good = [kept[d] for d in kept if quality.get(d) == 1]
-    assert sum(good) >= 0.97 * len(good)
+    junk = [kept[d] for d in kept if quality.get(d) == 0]
+    assert sum(good) >= 0.99 * len(good) and junk and sum(junk) <= 0.1 * len(junk)
 
 
-def test_estimate_recovers_accuracies():
+def test_estimate_recovers_the_labels():
     rng = random.Random(4)
-    right = [0.9, 0.8, 0.7, 0.85, 0.95]
-    seen = defaultdict(int)
+    right = [(0.9, 0.85), (0.8, 0.9), (0.7, 0.8), (0.85, 0.75), (0.95, 0.9)]
+    seen = defaultdict(lambda: [0, 0])
     for _ in range(20000):
-        y = 1 if rng.random() < 0.75 else -1
-        seen[tuple(0 if rng.random() < 0.2 else (y if rng.random() < a else -y) for a in right)] += 1
-    prior, found = rules.estimate(sorted(seen.items()), 5)
-    assert abs(prior - 0.75) < 0.03 and all(abs(a - b) < 0.04 for a, b in zip(found, right))
-    assert rules.estimate([], 3) == (0.8, [0.8] * 3)
+        y = rng.random() < 0.75
+        votes = tuple(0 if rng.random() < 0.2 else ((1 if y else -1) if rng.random() < (a if y else b) else (-1 if y else 1)) for a, b in right)
+        seen[votes][y] += 1
+    prior, odds = rules.estimate(sorted((v, sum(n)) for v, n in seen.items()), 5)
+    assert abs(prior - 0.75) < 0.05 and all(o[-1] < 0 < o[1] for o in odds)
+    agree = sum(n[rules.posterior(prior, odds, v) >= 0.5] for v, n in seen.items())
+    best = sum(max(n) for n in seen.values())
+    assert agree >= 0.99 * best
+    assert rules.estimate([], 3)[1] == [{-1: 0.0, 0: 0.0, 1: 0.0}] * 3
 
 
 def plain_targets(sizes, weights=(5, 2, 1), repeats=3):
