@@ -258,6 +258,54 @@ def recognised_text(pages: DataFrame, backend: Backend, settings: Settings | Non
     return pages.select("path", "page_idx", "image").mapInPandas(run, "path string, page_idx int, text string")
 
 
+def _tesseract_orientation(settings: Settings) -> Callable[[bytes], dict]:
+    import io
+
+    import pytesseract
+    from PIL import Image
+
+    def run(image: bytes) -> dict:
+        d = pytesseract.image_to_osd(Image.open(io.BytesIO(image)), output_type=pytesseract.Output.DICT)
+        return {"orientation": int(d.get("orientation", 0)), "rotate": int(d.get("rotate", 0)), "script": d.get("script"), "confidence": float(d.get("orientation_conf", 0))}
+
+    return run
+
+
+ORIENTED = "path string, page_idx int, orientation int, rotate int, script string, confidence double"
+
+
+def orientation(pages: DataFrame, make: Callable[[Settings], Callable[[bytes], dict]] = _tesseract_orientation, settings: Settings | None = None) -> DataFrame:
+    """Orientation and script of every page; zeros and no script where they can't be told."""
+    settings = settings or Settings()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = None
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                try:
+                    look = look or make(settings)
+                    d = look(bytes(r.image))
+                except Exception:  # noqa: BLE001
+                    d = {}
+                rows.append((r.path, r.page_idx, d.get("orientation", 0), d.get("rotate", 0), d.get("script"), d.get("confidence", 0.0)))
+            yield pd.DataFrame(rows, columns=["path", "page_idx", "orientation", "rotate", "script", "confidence"])
+
+    return pages.select("path", "page_idx", "image").mapInPandas(run, ORIENTED)
+
+
+def languages(listed: Callable[[], list[str]] | None = None) -> list[str]:
+    """Languages of the recognition engine on the driver, without orientation data; English where it can't be asked."""
+    try:
+        if listed is None:
+            import pytesseract
+
+            listed = pytesseract.get_languages
+        return sorted(x for x in listed() if x != "osd")
+    except Exception:  # noqa: BLE001
+        return ["eng"]
+
+
 def engine_arrays(pages: DataFrame) -> DataFrame:
     """The words of a page as the parallel arrays that the layout operators read."""
     names = ("text", "left", "top", "width", "height", "conf", "line_num")
@@ -272,6 +320,12 @@ def questions(settings: Settings | None = None) -> dict[str, str]:
     return {f: settings.get(f"model.extraction_fields.{f}.question", f"What is the {f.replace('_', ' ')}?") for f in FIELDS}
 
 
+def model_info(settings: Settings | None = None, backend: Backend | None = None) -> dict[str, Any]:
+    """Name, device and questions of the model that a run would use."""
+    settings = settings or Settings()
+    return {"model_name": settings.get("model.name"), "device": settings.get("model.device", "cpu"), "backend": backend.name if backend else None, "questions": questions(settings)}
+
+
 def _document_qa(settings: Settings) -> Callable[[bytes, str, str], tuple[str | None, float]]:
     import io
 

@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillstone.functions import amounts, compare, dates, files, text, validate
+from quillstone.functions import amounts, compare, dates, files, maps, text, validate
 
 
 def test_dates(one):
@@ -94,3 +94,8 @@ def test_past_and_future(one, value):
     now = F.lit("2024-01-01 12:00:00").cast("timestamp")
     assert one(lambda c: dates.is_past(c, now), [value]) == [value.startswith("2024")]
     assert one(lambda c: dates.is_future(c, now), [value]) == [False]
+
+
+def test_merged_maps(spark):
+    df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 4}), (None, {"a": 1}), ({"a": 1}, None), (None, None)], "x map<string,int>, y map<string,int>")
+    assert [r[0] for r in df.select(maps.merge_maps("x", "y")).collect()] == [{"a": 1, "b": 3, "c": 4}, {"a": 1}, {"a": 1}, None]

@@ -85,6 +85,19 @@ def test_backends_fall_back_or_fail():
     assert backends.tesseract_flags(config.Settings()) == "--psm 3 --oem 3 --dpi 300"
 
 
+def test_orientation_languages_and_info(spark):
+    pages = spark.createDataFrame([("a", 0, bytearray(b"x")), ("b", 0, bytearray(b"!"))], "path string, page_idx int, image binary")
+
+    def make(settings):
+        return lambda image: {"orientation": 90, "script": "Latin"} if image == b"x" else 1 / 0
+
+    got = {r.path: (r.orientation, r.rotate, r.script) for r in backends.orientation(pages, make).collect()}
+    assert got == {"a": (90, 0, "Latin"), "b": (0, 0, None)}
+    assert backends.languages(lambda: ["osd", "fra", "eng"]) == ["eng", "fra"] and backends.languages(lambda: 1 / 0) == ["eng"]
+    info = backends.model_info(backend=backends.Backend("x", _ask))
+    assert info["backend"] == "x" and set(info["questions"]) == set(FIELDS)
+
+
 RECORD = dict.fromkeys(FIELDS, "v") | {"source_file": "a.pdf"}
 
 
