@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, langid, mixing, neardup, secrets
-from quillstone.llm.common import ensure_checkpoint_dir, table
+from quillstone.llm.common import ensure_checkpoint_dir, materialise, table
+
+#: Ids that may be broadcast: 8 bytes each, so some MiB.
+FEW = 500_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +46,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _by_row(docs: DataFrame, unwanted) -> DataFrame:
-    """``docs`` without the ids that ``unwanted`` finds; rows without an id are kept."""
-    gone = unwanted(docs).where("doc_id is not null").distinct().withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """``docs`` without the ids that ``unwanted`` finds; rows without an id are kept.
+
+    The ids are counted first.  Up to FEW of them go to where the texts are;
+    for more, Spark joins by shuffling.
+    """
+    gone = materialise(unwanted(docs).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
+    if gone.count() <= FEW:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 STAGES = [
