@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("agree", "a")), asc=False), 1, BEST), lambda x: x.a)
     low = F.slice(F.sort_array(F.collect_list("a")), 1, BEST)
     # a document has at most TREES * NEIGHBOURS * 2 partners, so these lists are short
-    first = pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b")
+    first = materialise(pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b"))
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("node")).distinct()
     texts = materialise(texts.join(involved, "doc_id", "left_semi"))
     roots = components(confirmed(first, texts, size))
@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     end = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c))
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     across = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(end("a") != end("b")).select("a", "b")
-    roots = with_links(confirmed(across.join(first, ["a", "b"], "left_anti"), texts, size))
+    # confirming reads its pairs more than once
+    roots = with_links(confirmed(materialise(across.join(first, ["a", "b"], "left_anti")), texts, size))
     if not dense.isEmpty():
         members = texts.join(reps.select("node", F.transform(F.filter("keys", lambda _, i: i % 2 == 0), lambda p: F.shiftright(p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
         roots = with_links(across_regions(dense, roots, members, size))
