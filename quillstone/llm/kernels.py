@@ -49,7 +49,7 @@ class Slice:
         return len(self.offsets) - 1
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[Slice]:
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[Slice]:
     """Cut a string column into slices of at most ``limit`` bytes (one row at least); null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

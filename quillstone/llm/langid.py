@@ -46,7 +46,7 @@ LEAST_EXCESS = 0.6
 #: Rows that a length class of a language needs for limits of its own.
 LEAST_ROWS = 30
 #: Probabilities that are looked up together (characters times languages).
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 _CACHE_BITS = 18
 _SPACE = 0x20
 _letters: list[np.ndarray] = []
