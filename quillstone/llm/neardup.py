@@ -72,7 +72,7 @@ LIKELY = 48
 BEST = 2
 #: Pairs of a pivot that are compared in one chunk.
 CHUNK = 64
-#: Words from which a text's shingles are told apart by all 64 bits of their hash instead of 48.
+#: Shingles above which a text's are counted by all 64 bits of their hash instead of 48; its set has 48-bit values at any length.
 LONG = 1 << 15
 
 _rng = np.random.default_rng(17)
@@ -105,15 +105,19 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return out[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
-def distinct(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's set, sorted: 48-bit values for rows of up to LONG shingles, 64-bit ones for longer rows."""
+def distinct(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's set of 48-bit values, sorted, n+1 offsets by row, and how many shingles differ (by all 64 bits in rows of more than LONG)."""
     out: list[np.ndarray] = []
     sizes = np.diff(by)
     new = np.zeros(len(sizes), np.int64)
+    counted = np.zeros(len(sizes), np.int64)
     i = 0
     while i < len(sizes):
         if sizes[i] > LONG:
             got = np.unique(values[by[i] : by[i + 1]])
+            counted[i] = len(got)
+            # signatures of texts of any length must agree on their elements
+            got = np.unique(got >> K.U64(16))
             new[i] = len(got)
             out.append(got)
             i += 1
@@ -125,10 +129,10 @@ def distinct(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray
         keys = np.sort((row << K.U64(48)) | (values[by[i] : by[j]] >> K.U64(16)))
         if len(keys):
             keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        new[i:j] = np.bincount((keys >> K.U64(48)).astype(np.int64), minlength=j - i)
+        new[i:j] = counted[i:j] = np.bincount((keys >> K.U64(48)).astype(np.int64), minlength=j - i)
         out.append(keys & K.U64((1 << 48) - 1))
         i = j
-    return np.concatenate(out) if out else np.zeros(0, K.U64), np.concatenate([[0], np.cumsum(new)])
+    return np.concatenate(out) if out else np.zeros(0, K.U64), np.concatenate([[0], np.cumsum(new)]), counted
 
 
 def signature(values: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -158,8 +162,7 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(1)):
-                values, by = distinct(*shingles(part.data, part.offsets, size))
-                n = np.diff(by)
+                values, by, n = distinct(*shingles(part.data, part.offsets, size))
                 fp = np.column_stack([K.per_row(K.mix(values), by), K.per_row(K.mix(values ^ K.U64(0x5851F42D4C957F2D)), by)]).view(np.int64)
                 sig = signature(values, by)
                 short = ((sig.astype(K.U64) >> K.U64(3)) & K.U64(0xFFFF))[:, _ORDER]

@@ -54,6 +54,18 @@ def test_an_id_with_two_texts_joins_both(spark):
     assert got == {2: 2, 3: 2, 5: 2, 9: 9}
 
 
+def test_texts_on_both_sides_of_the_long_limit(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(neardup.LONG - 60)]
+    more = [f"v{i}" for i in range(200)]
+    half = words[:20_000]
+    # near copies of 32,708 and 32,908 words, a text and the same text twice
+    rows = [(1, " ".join(words)), (2, " ".join(words + more)), (3, " ".join(half[::-1])), (4, " ".join(half[::-1] * 2))]
+    got = found(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert got == components(rows, 2)
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 3]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(50)]
