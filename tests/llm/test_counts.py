@@ -68,6 +68,24 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(cascade.levels) > 1 and cascade.n_bytes() < 150 * 20
 
 
+def test_small_filters_keep_their_rate():
+    for salt in range(3):
+        bloom = urls.Bloom(5, 1e-7, salt)
+        for i in range(5):
+            bloom.add(f"listed{i} /")
+        assert all(f"listed{i} /" in bloom for i in range(5))
+        assert sum(f"h{i}.org /en/" in bloom for i in range(100_000)) <= 3
+
+
+def test_cascade_is_exact_beyond_the_bound(spark):
+    hosts = [f"h{i}.t{i % 7}.org" for i in range(2000)]
+    listed = [f"{h} /p" for h in hosts[::9]]
+    df = spark.createDataFrame([(h, "/p/q") for h in hosts], "host string, path string").repartition(3)
+    cascade = urls.build_cascade(df, listed, [2], bound=0)
+    assert len(cascade.levels) > 1
+    assert {k for h in hosts for _, _, k in urls.candidate_keys(h, "/p/q", [2]) if k in cascade} == set(listed)
+
+
 def test_rule_counts(spark, documents, odd):
     for df in (documents, odd):
         texts = defaultdict(list)
