@@ -8,9 +8,11 @@ interpolated probability, and of (language, context) with the weight of the
 next lower order.  A document goes to the language with the lowest cross-
 entropy per character.
 
-A rejection is calibrated on the training rows: for each language and text
-length (in powers of two), the mean and spread of the winning cross-entropy.
-A document that exceeds the mean by more than ``DEVIATIONS`` spreads, and by
+A rejection is calibrated on the training rows whose language is the predicted
+one: for each language and text length (in powers of two), the median of the
+winning cross-entropy, and its spread below the median, which foreign texts
+hardly move.
+A document that exceeds the median by more than ``DEVIATIONS`` spreads, and by
 more than ``LEAST_EXCESS`` nats, is rejected, as is one without letters.
 
 ``MAX_GRAMS`` bounds the n-grams that a model keeps and so what is broadcast:
@@ -256,7 +258,7 @@ def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Mo
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, entropy, n_chars_scored of every document of (doc_id, text)."""
+    """doc_id, lang, lang_pred, score, entropy, n of every document of (doc_id, text, lang)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +276,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     low, sure, names = np.zeros(len(texts)), np.zeros(len(texts)), ["und"] * len(texts)
                 yield pa.record_batch(
-                    [batch.column(0).slice(part.first, len(part)), pa.array(names, pa.string()), pa.array(np.round(sure, 6)), pa.array(np.round(low, 9)), pa.array(n, pa.int64())],
-                    names=["doc_id", "lang_pred", "score", "entropy", "n"],
+                    [batch.column(0).slice(part.first, len(part)), batch.column(2).slice(part.first, len(part)), pa.array(names, pa.string()), pa.array(np.round(sure, 6)), pa.array(np.round(low, 9)), pa.array(n, pa.int64())],
+                    names=["doc_id", "lang", "lang_pred", "score", "entropy", "n"],
                 )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, lang_pred string, score double, entropy double, n long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), run, "doc_id long, lang string, lang_pred string, score double, entropy double, n long")
 
 
 def predict(docs: DataFrame) -> DataFrame:
@@ -286,11 +288,14 @@ def predict(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(texts.where(~held_out("doc_id", 4, 2)))
     found = materialise(identify(texts, model).withColumn("held_out", held_out("doc_id", 4, 2)).withColumn("size", F.floor(F.log2(F.col("n") + 1)).cast("int")))
-    usual = found.where(~F.col("held_out") & (F.col("lang_pred") != "und"))
-    whole = usual.groupBy("lang_pred").agg(F.avg("entropy").alias("all_mean"), F.stddev_pop("entropy").alias("all_sd"))
-    sized = usual.groupBy("lang_pred", "size").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"), F.count("*").alias("rows"))
+    usual = found.where(~F.col("held_out") & (F.col("lang_pred") == F.col("lang")))
+    middle = lambda: F.percentile_approx("entropy", [0.25, 0.5])
+    whole = usual.groupBy("lang_pred").agg(middle().alias("all_at"))
+    sized = usual.groupBy("lang_pred", "size").agg(middle().alias("at"), F.count("*").alias("rows"))
     own = F.coalesce(F.col("rows"), F.lit(0)) >= LEAST_ROWS
-    limit = F.when(own, F.col("mean")).otherwise(F.col("all_mean")) + F.greatest(F.lit(LEAST_EXCESS), DEVIATIONS * F.when(own, F.col("sd")).otherwise(F.col("all_sd")))
+    at = F.when(own, F.col("at")).otherwise(F.col("all_at"))
+    # the lower quartile of a normal distribution is 0.6745 deviations below its median
+    limit = at[1] + F.greatest(F.lit(LEAST_EXCESS), DEVIATIONS / 0.6745 * (at[1] - at[0]))
     # short texts vary more than the limits of a whole language allow for
     spread = F.when(own, F.lit(0.0)).otherwise(F.lit(12.0) / F.sqrt(F.col("n") + 1))
     rejected = F.when(F.col("lang_pred") == "und", True).otherwise(F.coalesce(F.col("entropy") > limit + spread, F.lit(False)))

@@ -90,6 +90,17 @@ def test_language_edge_cases(spark, odd, documents):
     assert got[10**6].rejected and got[10**6].lang_pred != "und" and got[10**6 + 1].lang_pred == "und"
 
 
+@pytest.mark.parametrize("percent", [5, 30])
+def test_many_foreign_documents_are_rejected(spark, documents, percent):
+    rng = np.random.default_rng(percent)
+    n = documents.count() * percent // (100 - percent)
+    foreign = [(10**6 + i, " ".join("".join(rng.choice(list("zqxjvkw"), 5)) for _ in range(60)), None) for i in range(n)]
+    both = documents.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(foreign, "doc_id long, text string, lang string"))
+    rows = langid.predict(both).collect()
+    assert all(r.rejected for r in rows if r.doc_id >= 10**6)
+    assert sum(r.rejected for r in rows if r.doc_id < 10**6) <= 0.01 * (len(rows) - n)
+
+
 def test_kneser_ney_is_a_distribution():
     counts = [("a", g, n) for g, n in {"abca": 3, "bcab": 2, "cabc": 1, "abcb": 1, "   a": 2}.items()]
     m = langid.Model(counts, order=4)
