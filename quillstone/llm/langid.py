@@ -15,9 +15,9 @@ hardly move.
 A document that exceeds the median by more than ``DEVIATIONS`` spreads, and by
 more than ``LEAST_EXCESS`` nats, is rejected, as is one without letters.
 
-``MAX_GRAMS`` bounds the n-grams that a model keeps and so what is broadcast:
-beyond it the rarest go, as in any count cut-off.  Lookups go through a direct-
-mapped cache of probabilities in each worker; misses search the sorted arrays.
+A model keeps all n-grams, however rare: the continuation counts live on those.
+It is built on the driver and broadcast, so both grow with the distinct n-grams
+of the corpus.  Lookups go through a direct-mapped cache of probabilities in each worker; misses search the sorted arrays.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; rows with a null language are never learned from; a tie goes to the
@@ -42,7 +42,8 @@ from quillstone.llm.common import held_out, map_arrow, materialise
 
 ORDER = 4
 DISCOUNT = 0.75
-MAX_GRAMS = 1_000_000
+#: Counted n-grams that a task holds before it hands them on to be summed.
+HELD_GRAMS = 1_000_000
 DEVIATIONS = 8.0
 LEAST_EXCESS = 0.6
 #: Rows that a length class of a language needs for limits of its own.
@@ -138,7 +139,7 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     if len(cols[0]):
                         h, first, n = _unique(gram_hash(cols))
                         add(lang, h, n, np.column_stack([c[first] for c in cols]))
-            if sum(len(x[0]) for x in total.values()) > MAX_GRAMS:
+            if sum(len(x[0]) for x in total.values()) > HELD_GRAMS:
                 yield from flush()
         yield from flush()
 
@@ -250,11 +251,10 @@ class Model:
         return -total / np.maximum(n, 1)[:, None], n, letters
 
 
-def train(docs: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """A model from all rows of (text, lang) whose language is known."""
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of all n-grams from all rows of (text, lang) whose language is known."""
     counts = count_grams(docs.where("lang is not null").select("lang", "text"), order)
-    kept = counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    return Model([(r.lang, r.gram, r.n) for r in kept.toLocalIterator()], order)
+    return Model([(r.lang, r.gram, r.n) for r in counts.toLocalIterator()], order)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -161,6 +161,13 @@ def test_forest_separates_held_out_findings(spark):
     assert sum(got[i] == bool(r[5]) for i, r in enumerate(rows)) >= 0.95 * len(rows)
 
 
+def test_models_keep_all_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda counts, order: len(counts))
+    points = np.random.default_rng(3).integers(0x4E00, 0x9FA0, (20, 52_000))
+    df = spark.createDataFrame([("zh", "".join(map(chr, row))) for row in points.tolist()], "lang string, text string")
+    assert langid.train(df) > 1_030_000
+
+
 def test_sums_of_ngrams_cover_all_rows(spark):
     df = spark.createDataFrame([("en", "abab"), ("en", "ab"), ("de", "ab")], "lang string, text string").repartition(3)
     got = {(r.lang, r.gram): r.n for r in langid.count_grams(df).collect()}
