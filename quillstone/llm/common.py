@@ -12,12 +12,14 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder alone; set one only where none is set."""
+    """Leave the cluster's checkpoint folder alone; set one only where none is set and all runs on this machine."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -29,12 +31,33 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are joined by broadcast at most, 3 MB of them, and rows of a key that never need it.
+HEAVY_KEYS = 100_000
+LIGHT_ROWS = 1000
+
+
+def join_heavy(big: DataFrame, small: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join where one key may hold any share of ``big``.
+
+    ``small`` has one row a key, which says in ``rows`` how many rows of
+    ``big`` have it, ``total`` in all.  At most HEAVY_KEYS keys can have more
+    than total / HEAVY_KEYS rows, whatever the tables: those meet their rows
+    where these are, by broadcast, and only the others are shuffled.
+    """
+    if total <= LIGHT_ROWS:
+        return big.join(small, keys)
+    most = max(LIGHT_ROWS, total // HEAVY_KEYS)
+    heavy = small.where(F.col(rows) > most)
+    light = big.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(small.where(F.col(rows) <= most), keys)
+    return big.join(F.broadcast(heavy), keys).unionByName(light)
+
+
 #: Bytes that cross to Python together, so that long texts don't add up in a batch.
 ARROW_BYTES = 8 << 20
 _ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes; a smaller bound of the session stays."""
     conf = df.sparkSession.conf
     now = conf.get(_ARROW_CONF).rstrip("b")

@@ -2,7 +2,10 @@
 
 Alternating large-star and small-star steps: each step joins links with the
 smallest neighbour of one end, which is a map-side combined minimum, and the
-number of links never grows.  Nothing is collected but sums for the end test.
+number of links never grows.  Nodes with very many links are joined by
+broadcast (see :func:`join_heavy`), so a hub is no hot key.  Nothing is
+collected but sums for the end test; when those repeat, the links are stars or
+the steps go on, so equal sums of different links end nothing.
 
 Few links are kept in few partitions (one for each TOGETHER of them), as every
 step shuffles, and a shuffle writes a file for each partition that it reads.
@@ -13,15 +16,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
-
+from quillstone.llm.common import join_heavy, materialise
 
 #: Links that a partition holds at least, where there are as many.
 TOGETHER = 200_000
 
 
 def _sums(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long"))).first())
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _stars(links: DataFrame) -> bool:
+    """No node has two links upwards, or one and a link from below."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
+def _least(links: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node, and how many it has."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
@@ -32,15 +45,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
         if not before[0]:
             break
         few = -(-before[0] // TOGETHER)
+        joined = (lambda x, y: x.join(y, "u")) if few == 1 else (lambda x, y: join_heavy(x, y, ["u"], "links", 2 * before[0]))  # noqa: B023
         links = links.coalesce(few)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * few)
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct()
+        least = _least(both).select("u", F.least("u", "m").alias("m"), "links")
+        large = joined(both, least).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(few).distinct()
+        least = _least(large)
+        small = joined(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).coalesce(few).distinct()
         links = materialise(small.coalesce(few))
         after = _sums(links)
-        if after == before:
+        if after == before and _stars(links):
             break
         before = after
     else:

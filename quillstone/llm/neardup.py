@@ -17,7 +17,9 @@ that can't reach the threshold before they leave the task.
 A region with more rows than neighbours reach is dense, and its neighbours are
 not all pairs.  Once the components are known, all rows of such a region that
 are of different components are compared by their sketches, in blocks, so no
-pair is lost to the number of neighbours.
+pair is lost to the number of neighbours.  Blocks are bounded by rows and by
+shingles.  A block joins components as it finds links and only hands on the
+links that joined two, so its output is of the order of its rows.
 
 Candidate pairs are confirmed on the full sets: first each document with a few
 of its likely partners, those with the smallest ids and those that agree most;
@@ -28,11 +30,16 @@ are salted into chunks, and streamed past the pivot's set.
 Recall: a pair at a Jaccard similarity of 0.8 misses one tree with probability
 1 - 0.8**3, and all 21 with 3e-7; the sketch loses about 3e-5 of such pairs.
 
+No key is hot: copies of a text, links of a node and rows of a region meet
+their class, smallest neighbour and counts by :func:`join_heavy`.
+
 Edge cases: a text with fewer words than a shingle is one shingle of all of
-them; texts without words, or null, have no set and no links; rows that repeat
-an id are one document, which has the links of all its texts; a null id links
-with nothing, has a null component and is kept; ties go to the smallest id;
-an empty table gives no rows.
+them; texts without words, or null, have no set and no links; very long texts
+are whole sets like others, one such text at a time in memory; rows that repeat
+an id are one document, which has the links of all its texts, and each row is
+returned; a null id links with nothing, has a null component and is kept; ties
+go to the smallest id; an empty table gives no rows.  Only ``doc_id`` and
+``text`` are read, whatever other columns there are and however they are named.
 """
 
 from __future__ import annotations
@@ -46,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import map_arrow, materialise
+from quillstone.llm.common import join_heavy, map_arrow, materialise
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -61,9 +68,10 @@ NEIGHBOURS = 10
 NEAREST = 3
 #: Rows at each side of a partition's edge: enough to see any region that no side sees as dense.
 EDGE = 2 * NEIGHBOURS + 2
-#: Rows of a dense region that are compared with up to VISITORS others in one block.
+#: Rows of a dense region that are compared with up to VISITORS others in one block, and the shingles of either.
 RESIDENTS = 4096
 VISITORS = 4096
+BLOCK_SHINGLES = 4 << 20
 #: Of the 63 three-bit values of two sketches, those that must agree (0.8 expects 52, with a spread of 3).
 AGREE = 40
 #: The same for pairs that are likely links, compared first.
@@ -72,8 +80,6 @@ LIKELY = 48
 BEST = 2
 #: Pairs of a pivot that are compared in one chunk.
 CHUNK = 64
-#: Shingles above which a text's are counted by all 64 bits of their hash instead of 48; its set has 48-bit values at any length.
-LONG = 1 << 15
 
 _rng = np.random.default_rng(17)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -82,7 +88,7 @@ _ORDER = (np.arange(TREES)[:, None] * DEPTH + np.arange(LEVELS)[None, :]) % HASH
 _THREE = sum(1 << (3 * i) for i in range(21))
 
 #: keys: eight 16-bit values in two longs, for each tree.
-NODE = "n_shingles long, fp array<long>, keys array<long>, sketch array<long>"
+NODE = "n_shingles long, f0 long, f1 long, keys array<long>, sketch array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,34 +111,24 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return out[keep], np.concatenate([[0], np.cumsum(counts)])
 
 
-def distinct(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's set of 48-bit values, sorted, n+1 offsets by row, and how many shingles differ (by all 64 bits in rows of more than LONG)."""
-    out: list[np.ndarray] = []
-    sizes = np.diff(by)
-    new = np.zeros(len(sizes), np.int64)
-    counted = np.zeros(len(sizes), np.int64)
-    i = 0
-    while i < len(sizes):
-        if sizes[i] > LONG:
-            got = np.unique(values[by[i] : by[i + 1]])
-            counted[i] = len(got)
-            # signatures of texts of any length must agree on their elements
-            got = np.unique(got >> K.U64(16))
-            new[i] = len(got)
-            out.append(got)
-            i += 1
-            continue
-        j = i
-        while j < len(sizes) and sizes[j] <= LONG and j - i < 65_000:
-            j += 1
-        row = np.repeat(np.arange(j - i), sizes[i:j]).astype(K.U64)
-        keys = np.sort((row << K.U64(48)) | (values[by[i] : by[j]] >> K.U64(16)))
-        if len(keys):
-            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-        new[i:j] = counted[i:j] = np.bincount((keys >> K.U64(48)).astype(np.int64), minlength=j - i)
-        out.append(keys & K.U64((1 << 48) - 1))
-        i = j
-    return np.concatenate(out) if out else np.zeros(0, K.U64), np.concatenate([[0], np.cumsum(new)]), counted
+def distinct(values: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's set of hashes, sorted, and n+1 offsets by row."""
+    rows = len(by) - 1
+    if rows > 1 << 16:
+        row = K.row_of(by)
+        order = np.lexsort((values, row))
+        row = row[order]
+    else:
+        # a stable sort of 16-bit numbers is a radix sort
+        row = K.row_of(by).astype(np.uint16)
+        order = np.argsort(values)
+        order = order[np.argsort(row[order], kind="stable")]
+        row = row[order]
+    values = values[order]
+    if len(values):
+        new = np.concatenate([[True], (values[1:] != values[:-1]) | (row[1:] != row[:-1])])
+        values, row = values[new], row[new]
+    return values, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
 
 
 def signature(values: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -158,19 +154,20 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set), keys (of each tree) and sketch of every document."""
+    """doc_id, n_shingles, f0 and f1 (128 bits of the set), keys (of each tree) and sketch of every document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch.column(1)):
-                values, by, n = distinct(*shingles(part.data, part.offsets, size))
-                fp = np.column_stack([K.per_row(K.mix(values), by), K.per_row(K.mix(values ^ K.U64(0x5851F42D4C957F2D)), by)]).view(np.int64)
+                values, by = distinct(*shingles(part.data, part.offsets, size))
+                fp = [pa.array(K.per_row(K.mix(values ^ K.U64(k)), by).view(np.int64)) for k in (0, 0x5851F42D4C957F2D)]
                 sig = signature(values, by)
                 short = ((sig.astype(K.U64) >> K.U64(3)) & K.U64(0xFFFF))[:, _ORDER]
                 shift = K.U64(16) * np.array([3, 2, 1, 0], K.U64)
                 keys = (short.reshape(len(part), TREES, 2, 4) << shift).sum(axis=3, dtype=K.U64).view(np.int64).reshape(len(part), 2 * TREES)
                 rows = len(part)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (fp, keys, sketch(sig).view(np.int64))]
-                yield pa.record_batch([batch.column(0).slice(part.first, rows), pa.array(n, pa.int64()), *lists], names=["doc_id", "n_shingles", "fp", "keys", "sketch"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel())) for x in (keys, sketch(sig).view(np.int64))]
+                yield pa.record_batch([batch.column(0).slice(part.first, rows), pa.array(np.diff(by), pa.int64()), *fp, *lists], names=["doc_id", "n_shingles", "f0", "f1", "keys", "sketch"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, f"doc_id long, {NODE}")
 
@@ -208,6 +205,12 @@ def _columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _FOREST]) if len(batch) else np.zeros((0, len(_FOREST)), np.int64)
 
 
+def _marker(part: int, rows: int) -> pa.RecordBatch:
+    """How many rows, EDGE at most, the partition ``part`` has."""
+    none = pa.nulls(1, pa.int64())
+    return pa.record_batch([pa.array([part], pa.int64()), pa.array([rows], pa.int64()), none, pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int64()))], names=["part", "a", "b", "agree", "forest"])
+
+
 def _rows(part: int | None, pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None, forest: np.ndarray | None) -> pa.RecordBatch:
     """Pairs, rows beside the edge ``part``, or (without one) rows of dense regions, which agree as DENSE."""
     n = len(pairs[0]) if pairs is not None else len(forest)
@@ -254,6 +257,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = (y[-1, 0], y[-1, 1] >> 16) if full[-1] else None
         pending = y[:0] if full[-1] else y[number == number[-1]]
     if len(head):
+        yield _marker(part, len(tail))
         yield _rows(part - 1, None, head)
         yield _rows(part, None, tail)
 
@@ -264,7 +268,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for edge in np.unique(x[:, 0]):
-            rows = x[x[:, 0] == edge][:, 1:]
+            # a short partition is at both of its edges
+            rows = np.unique(x[x[:, 0] == edge][:, 1:], axis=0)
             yield _rows(None, _neighbours(rows, 0), None)
             yield _rows(None, None, rows[_runs(rows)[1] > NEIGHBOURS + 1])
 
@@ -283,13 +288,32 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select(F.col("tree").cast("long").alias("tree"), F.get("keys", 2 * F.col("tree")).alias("p"), F.get("keys", 2 * F.col("tree") + 1).alias("q"), "node", "n", "s0", "s1", "s2")
     order = ["tree", "p", "q", "node"]
     swept = materialise(map_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), _sweep, _PAIRS))
-    edges = materialise(map_arrow(swept.where("part is not null").repartition("part").sortWithinPartitions("part", "forest"), _edges, _PAIRS))
+    beside = swept.where("forest is not null and part is not null")
+    sides = dict(swept.where("a is not null and part is not null").select("part", "a").collect())
+    joined = _joined_edges(sides)
+    if joined:
+        names = reps.sparkSession.createDataFrame(joined, "part long, first long")
+        beside = beside.join(F.broadcast(names), "part", "left").withColumn("part", F.coalesce("first", "part")).select(*swept.columns)
+    edges = materialise(map_arrow(beside.repartition("part").sortWithinPartitions("part", "forest"), _edges, _PAIRS))
     found = swept.unionByName(edges).where("part is null")
     place = {c: F.get("forest", F.lit(i)).alias(c) for i, c in enumerate(_FOREST)}
     dense = found.where(F.col("agree") == DENSE).select(*place.values()).select("tree", F.shiftright("p", 16).alias("region"), "node", "n", "s0", "s1", "s2")
     return found.where("a is not null").select("a", "b", "agree").distinct(), dense.distinct()
 
 
+def _joined_edges(sides: dict[int, int]) -> list[tuple[int, int]]:
+    """(edge, the first edge of its run): edges with only short or empty partitions between them are one."""
+    out: list[tuple[int, int]] = []
+    first = None
+    for part in range(min(sides, default=0), max(sides, default=0) + 1):
+        if sides.get(part, 0) >= EDGE:
+            first = None
+            continue
+        first = part - 1 if first is None else first
+        out.append((part, first))
+    return out
+
+
 def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between different components among all pairs of the dense regions, confirmed on the full sets.
 
@@ -298,13 +322,16 @@ def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size:
     residents; the other rows visit every block, in crowds.  A region that is
     one component costs nothing, no row meets those of its own component, and
     a pair is looked at in the first tree that it shares a region in.  Pairs
-    are compared where they meet; only links leave the task.
+    are compared where they meet.  A link joins its components for the rest of
+    the block, and only such links leave the task.
     """
     rows = dense.join(roots.select("node", "root"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    groups = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("c"))
-    regions = groups.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("most < rows")
-    rows = rows.join(regions, ["tree", "region"]).withColumn("minor", (F.col("comp") != F.col("main")).cast("long"))
-    blocks, crowds = F.ceil(F.col("most") / RESIDENTS), F.ceil((F.col("rows") - F.col("most")) / VISITORS)
+    groups = rows.groupBy("tree", "region", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    regions = groups.groupBy("tree", "region").agg(F.sum("c").alias("rows"), F.sum("s").alias("sum"), F.max_by(F.struct("comp", "s"), F.struct("c", "comp")).alias("main"), F.max("c").alias("most")).where("most < rows")
+    regions = materialise(regions.select("tree", "region", "rows", "most", F.col("main.comp").alias("main"), F.col("main.s").alias("main_sum"), "sum"))
+    rows = join_heavy(rows, regions, ["tree", "region"], "rows", dense.count()).withColumn("minor", (F.col("comp") != F.col("main")).cast("long"))
+    parts = lambda count, most, shingles: F.greatest(F.ceil(count / most), F.ceil(shingles / BLOCK_SHINGLES))
+    blocks, crowds = parts(F.col("most"), RESIDENTS, F.col("main_sum")), parts(F.col("rows") - F.col("most"), VISITORS, F.col("sum") - F.col("main_sum"))
     # in one block and crowd the visitors meet each other; else they are residents as well
     rows = rows.withColumn("alone", ((blocks == 1) & (crowds == 1)).cast("long"))
     dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), n)
@@ -315,8 +342,14 @@ def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size:
     visitors = rows.where("minor = 1").withColumn("crowd", dealt(2, crowds)).withColumn("block", F.explode(every(blocks))).withColumn("visits", F.lit(1).cast("long"))
     both = residents.select(*columns).unionByName(visitors.select(*columns)).join(members, "node").select(*columns, "text", "regions")
 
-    def near(tree: int, a: tuple, b: tuple) -> list[tuple[int, int]]:
-        """Links between the rows of two tables (numbers, regions, sets)."""
+    def near(tree: int, a: tuple, b: tuple, joined: dict[int, int]) -> list[tuple[int, int]]:
+        """Links between the rows of two tables (numbers, regions, sets) that join components which ``joined`` keeps apart."""
+
+        def top(c: int) -> int:
+            while joined.get(c, c) != c:
+                joined[c] = c = joined.get(joined[c], joined[c])
+            return c
+
         out = []
         (x, xr, xs), (y, yr, ys) = a, b
         step = max(1, (1 << 19) // max(1, len(x)))
@@ -331,16 +364,16 @@ def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size:
             v, w = v[keep], w[keep]
             keep = (xr[v] == yr[i + w]).argmax(axis=1) == tree
             for p, q in zip(v[keep], w[keep], strict=True):
-                own, other = xs[p], ys[i + q]
-                at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                common = int((other[at] == own).sum())
-                if 100 * common >= PERCENT * (len(own) + len(other) - common):
+                one, two = top(int(x[p, 6])), top(int(z[q, 6]))
+                if one != two and _linked(xs[p], ys[i + q]):
+                    joined[max(one, two)] = min(one, two)
                     out.append((int(x[p, 1]), int(z[q, 1])))
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros((0, 7), np.int64), np.zeros((0, TREES), np.int64), []
         at, crowd, met = None, none, True
+        joined: dict[int, int] = {}
         for batch in batches:
             found: list[tuple[int, int]] = []
             numbers = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]) if len(batch) else np.zeros((0, len(columns)), np.int64)
@@ -354,19 +387,28 @@ def across_regions(dense: DataFrame, roots: DataFrame, members: DataFrame, size:
                     key, own = tuple(x[lo, :4]), (x[lo:hi, 6:], regions[lo:hi], sets[lo:hi])
                     if key != at:
                         if not met:
-                            found += near(at[0], crowd, crowd)
-                        at, crowd, met = key, none, not x[lo, 5]
+                            found += near(at[0], crowd, crowd, joined)
+                        at, crowd, met, joined = key, none, not x[lo, 5], {}
                     if x[lo, 4]:
                         crowd = np.concatenate([crowd[0], own[0]]), np.concatenate([crowd[1], own[1]]), crowd[2] + own[2]
                     else:
-                        found += near(key[0], crowd, own)
+                        found += near(key[0], crowd, own, joined)
             yield pa.record_batch([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
-        found = near(at[0], crowd, crowd) if not met else []
+        found = near(at[0], crowd, crowd, joined) if not met else []
         yield pa.record_batch([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
     return map_arrow(both.repartition(*keys).sortWithinPartitions(*keys, F.desc("visits")), compare, "a long, b long").distinct()
 
 
+def _linked(own: np.ndarray, other: np.ndarray) -> bool:
+    """Two sorted sets that are not empty are similar enough."""
+    if 100 * min(len(own), len(other)) < PERCENT * max(len(own), len(other)):
+        return False
+    at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+    both = int((other[at] == own).sum())
+    return 100 * both >= PERCENT * (len(own) + len(other) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are similar enough."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -393,9 +435,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                         for other in sets:
                             if not len(own) or not len(other):
                                 continue
-                            at = np.minimum(np.searchsorted(other, own), len(other) - 1)
-                            both = int((other[at] == own).sum())
-                            if 100 * both >= PERCENT * (len(own) + len(other) - both):
+                            if _linked(own, other):
                                 found_a.append(a[r])
                                 found_b.append(b[r])
                                 break
@@ -409,9 +449,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document of (doc_id, text)."""
     made = materialise(nodes(docs, size))
     usable = made.where("n_shingles > 0 and doc_id is not null")
-    reps = usable.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = usable.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     found, dense = candidates(reps)
-    pairs = materialise(found)
+    pairs, dense = materialise(found), materialise(dense)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("agree", "a")), asc=False), 1, BEST), lambda x: x.a)
     low = F.slice(F.sort_array(F.collect_list("a")), 1, BEST)
@@ -433,19 +473,35 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     if not dense.isEmpty():
         members = texts.join(reps.select("node", F.transform(F.filter("keys", lambda _, i: i % 2 == 0), lambda p: F.shiftright(p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
         roots = with_links(across_regions(dense, roots, members, size))
-    # rows that repeat an id with another text join the classes of their texts
-    classes = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp", "rep")
-    member = usable.join(classes, "fp", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    return _with_components(made, member, roots)
-
-
-def _with_components(made: DataFrame, member: DataFrame, roots: DataFrame) -> DataFrame:
-    found = member.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component"))
-    per_id = found.groupBy("doc_id").agg(F.min("component").alias("component"), F.max("component").alias("other"))
-    pooled = per_id.where("component < other")
-    if not pooled.isEmpty():
-        joined = components(found.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
-        per_id = found.select("doc_id").distinct().join(joined.select(F.col("node").alias("doc_id"), F.col("root").alias("component")), "doc_id", "left")
-    out = made.select("doc_id", "n_shingles").join(per_id.select("doc_id", "component"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return _with_components(made, roots)
+
+
+def _with_components(made: DataFrame, roots: DataFrame) -> DataFrame:
+    """The component of every row: that of its set, and of all sets of its id."""
+    usable = made.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "f0", "f1")
+    classes = usable.groupBy("f0", "f1").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
+    labels = materialise(classes.join(roots, "node", "left").select("f0", "f1", "rows", F.coalesce("root", "node").alias("component")))
+    found = join_heavy(usable, labels, ["f0", "f1"], "rows", usable.count()).select("doc_id", "n_shingles", "component")
+    rest = made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    known = made.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not known.isEmpty():
+        found, rest = _pooled(found, rest, known)
+    out = found.unionByName(rest)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def _pooled(found: DataFrame, rest: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components where rows repeat an id: such rows are one document, so the components of its texts are one."""
+    total = found.count() + rest.count()
+    several = join_heavy(found, repeated, ["doc_id"], "rows", total).select("doc_id", "component").distinct()
+    # an id joins the components of its texts; each is named by its smallest id
+    joined = components(several.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+    root = joined.select(F.col("node").alias("component"), "root")
+    sizes = found.groupBy("component").agg(F.count("*").alias("rows")).join(root, "component", "left").select("component", "rows", F.coalesce("root", "component").alias("root"))
+    found = join_heavy(found, materialise(sizes), ["component"], "rows", total).select("doc_id", "n_shingles", F.col("root").alias("component"))
+    # a row without words has the component of the others of its id
+    own = found.groupBy("doc_id").agg(F.min("component").alias("root"))
+    named, free = rest.where("doc_id is not null"), rest.where("doc_id is null")
+    mine = named.groupBy("doc_id").agg(F.count("*").alias("rows")).join(own, "doc_id", "left").select("doc_id", "rows", F.coalesce("root", "doc_id").alias("root"))
+    named = join_heavy(named, materialise(mine), ["doc_id"], "rows", total).select("doc_id", "n_shingles", F.col("root").alias("component"))
+    return found, named.unionByName(free)
