@@ -63,3 +63,29 @@ def counts(text):
     covered = {j for i, t in enumerate(triples) if often[t] > 1 for j in (i, i + 1, i + 2)}
     lines = [x for x in text.split("\n") if BLANK_WORD.search(x)]
     return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def kneser_ney(counts, order, discount, limits):
+    """p(lang, gram) of interpolated Kneser-Ney models from {(lang, gram): n}, and the languages."""
+    langs = sorted({k for k, _ in counts})
+    alphabet = len({c for _, g in counts for c in g} | {" "}) + 1
+    levels = {order: dict(counts)}
+    for o in range(order - 1, 0, -1):
+        levels[o] = Counter((k, g[1:]) for k, g in levels[o + 1])
+    d = {}
+    for o in levels:
+        for k in langs:
+            seen = Counter(n for (l, _), n in levels[o].items() if l == k)
+            d[o, k] = max(limits[0], min(limits[1], seen[1] / (seen[1] + 2 * seen[2]))) if seen[1] and seen[2] else discount
+
+    def p(k, gram):
+        if not gram:
+            return 1 / alphabet
+        o, lower = len(gram), p(k, gram[1:])
+        beside = [n for (l, g), n in levels[o].items() if l == k and g[:-1] == gram[:-1]]
+        if not beside:
+            return lower
+        own = levels[o].get((k, gram), 0)
+        return max(own - d[o, k], 0) / sum(beside) + d[o, k] * len(beside) / sum(beside) * lower
+
+    return p, langs

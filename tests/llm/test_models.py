@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from brute import kneser_ney
 
 from quillstone.llm import langid, quality, secrets, toxicity
 
@@ -101,15 +102,50 @@ def test_many_foreign_documents_are_rejected(spark, documents, percent):
     assert sum(r.rejected for r in rows if r.doc_id < 10**6) <= 0.01 * (len(rows) - n)
 
 
-def test_kneser_ney_is_a_distribution():
-    counts = [("a", g, n) for g, n in {"abca": 3, "bcab": 2, "cabc": 1, "abcb": 1, "   a": 2}.items()]
-    m = langid.Model(counts, order=4)
-    alphabet = [ord(c) for c in "abc "]
+def test_kneser_ney_by_definition(spark):
+    rng = np.random.default_rng(5)
+    counts = {}
+    for k, letters in (("a", "abc "), ("b", "bcde"), ("c", "xé")):
+        for _ in range(60):
+            counts[k, "".join(rng.choice(list(letters), 4))] = int(rng.integers(1, 5))
+    made = langid.tables(spark.createDataFrame([(k, g, n) for (k, g), n in counts.items()], "lang string, gram string, n long"))
+    p, langs = kneser_ney(counts, 4, langid.DISCOUNT, langid.DISCOUNTS)
+    assert made.langs == langs
+    for o, rows in made.grams.items():
+        for r in rows.collect():
+            assert len(r.g) == o and r.p == pytest.approx(p(r.lang, r.g))
+    m = langid.Model(made)
+    tried = [" ".join([*x])[::2] for x in ("abca", "zzzz", "abcz", "zabc", "ebcd", "xéxé", "éé  ")]
+    cols = [np.array([ord(t[i]) for t in tried], np.uint32) for i in range(4)]
+    want = [[math.log(p(k, t)) for k in langs] for t in tried]
+    assert np.allclose(m.log_probabilities(cols), want, atol=1e-5)
+    assert np.allclose(m.looked_up(cols), want, atol=1e-5) and np.allclose(m.looked_up(cols), want, atol=1e-5)
+    asked = spark.createDataFrame([(t, 1) for t in tried], "g string, rows long")
+    got = {r.g: r.logs for r in langid._probabilities(asked, made).collect()}
+    assert np.allclose([got[t] for t in tried], want, atol=1e-5)
+    alphabet = "abcdexé "
     for context in ("abc", "xyz", "cab"):
-        cols = [np.full(len(alphabet), ord(c), np.uint32) for c in context] + [np.array(alphabet, np.uint32)]
-        p = np.exp(m.log_probabilities(cols)[:, 0])
-        assert 0.7 < p.sum() <= 1.0001  # one more symbol stands for all unseen characters
-        assert np.allclose(np.log(p), m.cached(cols)[:, 0], atol=1e-6) and np.allclose(m.cached(cols), m.cached(cols))
+        assert 0.7 < sum(p("a", context + c) for c in alphabet) <= 1.0001  # one more symbol stands for all unseen characters
+
+
+def test_a_model_that_is_not_broadcast(spark, odd, documents, monkeypatch):
+    both = documents.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    key = lambda r: (str(r.doc_id), r.lang_pred, r.entropy)
+    small = sorted(langid.predict(both).collect(), key=key)
+    monkeypatch.setattr(langid, "MODEL_ROWS", 0)
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 1 << 16)
+    large = sorted(langid.predict(both, ()).collect(), key=key)
+    assert len(small) == both.count() and [r[:4] + r[5:] for r in map(tuple, small)] == [r[:4] + r[5:] for r in map(tuple, large)]
+    assert np.allclose([r.entropy for r in small], [r.entropy for r in large], atol=1e-5)
+    assert langid.predict(odd.limit(0)).count() == 0
+
+
+def test_a_rare_language_beside_a_frequent_one(spark):
+    rng = np.random.default_rng(6)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(40))
+    rows = [(i, make("etaoinshrdlu"), "en") for i in range(400)] + [(1000 + i, make("zwyąęłóśk"), "pl") for i in range(12)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 1000} == {"pl"} and {r.lang_pred for r in got if r.doc_id < 1000} == {"en"}
 
 
 SECRETS = [
@@ -161,11 +197,11 @@ def test_forest_separates_held_out_findings(spark):
     assert sum(got[i] == bool(r[5]) for i, r in enumerate(rows)) >= 0.95 * len(rows)
 
 
-def test_models_keep_all_ngrams(spark, monkeypatch):
-    monkeypatch.setattr(langid, "Model", lambda counts, order: len(counts))
-    points = np.random.default_rng(3).integers(0x4E00, 0x9FA0, (20, 52_000))
+def test_models_keep_all_ngrams(spark):
+    points = np.random.default_rng(3).integers(0x4E00, 0x9FA0, (8, 30_000))
     df = spark.createDataFrame([("zh", "".join(map(chr, row))) for row in points.tolist()], "lang string, text string")
-    assert langid.train(df) > 1_030_000
+    made = langid.train(df)
+    assert made.grams[4].count() > 238_000 and made.rows() > 800_000
 
 
 def test_sums_of_ngrams_cover_all_rows(spark):
