@@ -4,57 +4,83 @@ Language identification drops what it rejects, near-dedup keeps one document
 of each group, decontamination drops documents that hold benchmark passages,
 secret scans mask secrets in the text, and mixing takes each source to its
 target share.  All stages but the last return the columns of ``documents``.
+
+Every stage judges rows, not ids: the first three number the rows first, and
+drop those whose number is found wanting.  So rows that share an id, or have
+none, are judged each by their own text.
+
+Edge cases, in every stage: a null text, or one without words, has no near copy
+and no benchmark passage or secret, but no language either; a null source is a
+source; repeated rows are near copies of each other where they have words; very
+long texts are whole; ties of near copies go to the smallest id, a null id being
+larger than others, and then to the first row; columns beyond those of
+``documents`` are handed on by all stages but the last, whatever their names,
+except ``__row``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, langid, mixing, neardup, secrets
-from quillstone.llm.common import ensure_checkpoint_dir, materialise, table
+from quillstone.llm.common import ensure_checkpoint_dir, join_heavy, materialise, table
 
-#: Ids that may be broadcast: 8 bytes each, so some MiB.
+#: Rows whose numbers may be broadcast: 8 bytes each, so some MiB.
 FEW = 500_000
+ROW = "__row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; rejected ones go, by row."""
-    return _by_row(docs, lambda d: langid.predict(d).where("rejected").select("doc_id"))
+    """Rows whose language is recognised; texts without letters or of no learned language go."""
+    return _by_row(docs, lambda rows: langid.predict(rows, (ROW,)).where("rejected").select(ROW))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the smallest id."""
-    return _by_row(docs, lambda d: neardup.near_duplicates(d).where("not kept").select("doc_id"))
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8 or more), that of the smallest id."""
+
+    def others(rows: DataFrame) -> DataFrame:
+        found = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+        groups = materialise(found.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")).join(rows.select(ROW, "doc_id"), ROW))
+        first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))
+        kept = groups.groupBy("group").agg(first[ROW].alias(ROW), F.count("*").alias("rows")).where("rows > 1")
+        large = kept.select(F.col(ROW).alias("kept"), "rows", "group")
+        return join_heavy(groups, materialise(large), ["group"], "rows", groups.count()).where(F.col(ROW) != F.col("kept")).select(ROW)
+
+    return _by_row(docs, others)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage."""
-    return _by_row(docs, lambda d: decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"))
+    """Rows without any benchmark passage."""
+    tests = table(spark, sf_dir, "benchmark")
+    return _by_row(docs, lambda rows: decontaminate.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), tests).where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in the text."""
+    """All rows, with secrets masked in the text."""
     return secrets.redact(docs, secrets.train(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken: how many words of each document the mix takes."""
+    """doc_id, source, size, source_size, target and taken: how many words of each row the mix takes."""
     return mixing.mix(docs)[1]
 
 
-def _by_row(docs: DataFrame, unwanted) -> DataFrame:
-    """``docs`` without the ids that ``unwanted`` finds; rows without an id are kept.
+def _by_row(docs: DataFrame, unwanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` without the rows whose numbers ``unwanted`` finds.
 
-    The ids are counted first.  Up to FEW of them go to where the texts are;
-    for more, Spark joins by shuffling.
+    Numbers are fixed by storing the rows with them, so that no part of the
+    work can see others.  Up to FEW numbers go to where the texts are; for
+    more, Spark joins by shuffling.
     """
-    gone = materialise(unwanted(docs).where("doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct())
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    gone = materialise(unwanted(rows).select(ROW))
     if gone.count() <= FEW:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 STAGES = [
@@ -70,12 +96,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is in the cluster's shared folder."""
+    """All stages over ``documents``; what passes between them is in the cluster's shared folder, and deleted when it has been read."""
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = f"{at}/{name}"
     return docs
