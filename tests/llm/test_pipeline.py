@@ -43,3 +43,20 @@ def test_odd_rows(spark, tmp_path, odd):
     empty = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_stages_judge_rows(spark, tmp_path, benchmark):
+    """Rows that share an id or have none, and repeated rows."""
+    sf = "/root/testdata/sf0.001"
+    passage = max((r.text for r in benchmark.collect()), key=len)
+    clean, other = "the plain words of a clean text that nothing else resembles at all", "quite another text about some other matter with words of its own"
+    rows = [(5, clean), (5, f"before {passage} after"), (None, f"begin {passage} end of it"), (6, other), (6, other), (None, other), (7, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "kept") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, node string").repartition(3)
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    got = corpus_pipeline.decontamination(spark, docs, sf)
+    assert key(got) == sorted([(5, clean), (6, other), (6, other), (None, other), (7, None), (8, ""), (8, "")], key=str)
+    assert got.columns == docs.columns
+    got = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert key(got) == sorted([r for r in rows if r[1] != other and (r[0] or not r[1])] + [(6, other)], key=str)
+    got = corpus_pipeline.language(spark, docs, sf)
+    assert all(r.text for r in got.collect()) and got.where("text = '" + other + "'").count() == 3
