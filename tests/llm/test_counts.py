@@ -30,11 +30,23 @@ def test_tokens_match_the_library(spark, documents, odd):
     assert tokens.count_tokens(odd.limit(0), PATH).count() == 0
 
 
-def test_token_cache_is_bounded():
-    c = tokens.Lengths({"a": 1}, lambda s, add_special_tokens: type("E", (), {"ids": [0] * len(s)})())
-    c.room = 3
-    assert [c[x] for x in ("bb", "ccc", "dddd", "bb")] == [2, 3, 4, 2] and len(c) <= 3
-    assert c["x" * 100] == 100 and "x" * 100 not in c
+def test_token_cache_is_bounded_and_keeps_tier_one():
+    with open(PATH, encoding="utf-8") as f:
+        counter = tokens.TokenCounter(f.read(), {" the": 1, " and": 1}, cached=5)
+    want = lambda t: len(counter.tokenizer.encode(t, add_special_tokens=False).ids)
+    for i in range(40):
+        texts = [f"some the words{i} and more{i % 7}", "", f"{i}", "x" * 100]
+        assert counter(texts) == [want(t) for t in texts]
+        assert len(counter.lengths) <= 7 and counter.lengths.items() >= {" the": 1, " and": 1}.items()
+    assert "x" * 100 not in counter.lengths
+
+
+def test_frequent_pieces_come_from_the_whole_table(spark, documents):
+    with open(PATH, encoding="utf-8") as f:
+        vocabulary = f.read()
+    df = spark.createDataFrame([(i, "first half" if i < 500 else "second part") for i in range(1000)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    assert tokens.frequent_lengths(df, vocabulary, 50).keys() == {"first", " half", "second", " part"}
+    assert len(tokens.frequent_lengths(df, vocabulary, 50, entries=2)) == 2
 
 
 def judged(url, table, default="allow"):
