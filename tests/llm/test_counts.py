@@ -68,16 +68,32 @@ def test_urls(spark):
     assert all(r.verdict == "allow" and r.rule is None for r in urls.judge(df, []).collect())
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+def test_long_urls_ties_and_null_ids(spark):
+    table = [("block", "b.org", "/xy"), ("allow", "a.b.org", "/"), ("block", "org", "/xy/z.")]
+    rows = [(None, "http://a.b.org/xy/z."), (1, "http://a.b.org/x"), (2, "http://b.org/xyz"), (4, "http://a.b.org/xyq"), (3, "http://" + "q." * 100_000 + "b.org/xy" + "z" * 300_000), (None, None)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), table).collect()
+    assert sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict) for r in got) == sorted((str(i), *(str(x) if x is None else x for x in judged(u, table))) for i, u in rows)
+    assert {r.rule for r in got if r.page_id == 4} == {"a.b.org/"}
+    with pytest.raises(ValueError):
+        urls.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "b.org", "/"), ("allow", "b.org", "/")])
+
+
+@pytest.mark.parametrize("most", [urls.FILTER_BYTES, 0])
+def test_cascade_is_exact_over_its_universe(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "FILTER_BYTES", most)
     rng = random.Random(2)
     hosts = [f"h{i}.t{i % 7}.org" for i in range(3000)]
-    table = [("block", h, "/p") for h in rng.sample(hosts, 150)]
+    table = [("block" if i % 3 else "allow", h, "/p") for i, h in enumerate(rng.sample(hosts, 150))] + [("block", "t3.org", "/p0/q")]
     df = spark.createDataFrame([(i, f"http://s.{h}/p{i % 3}/q") for i, h in enumerate(hosts)], "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, table).collect()}
     assert got == {i: judged(f"http://s.{h}/p{i % 3}/q", table) for i, h in enumerate(hosts)}
     host, path = urls.address()
-    cascade = urls.build_cascade(df.select(host.alias("host"), path.alias("path")), [f"{h} {p}" for _, h, p in table], [2])
-    assert len(cascade.levels) > 1 and cascade.n_bytes() < 150 * 20
+    rules = spark.createDataFrame(table, "verdict string, host string, path string")
+    addresses = df.select(host.alias("host"), path.alias("path"))
+    cascade = urls.build_cascade(addresses, rules.select(urls.key_of().alias("key")), urls.shapes_of(rules))
+    assert len(cascade.levels) > 1 and cascade.n_bytes() < 150 * 4
+    universe = {k for r in addresses.collect() for k in urls.candidate_keys(r.host, r.path, urls.shapes_of(rules))}
+    assert {k for k in universe if k in cascade} == {f"{h} {p}" for _, h, p in table} & universe and len(universe) > 1000
 
 
 def test_small_filters_keep_their_rate():
@@ -89,15 +105,6 @@ def test_small_filters_keep_their_rate():
         assert sum(f"h{i}.org /en/" in bloom for i in range(100_000)) <= 3
 
 
-def test_cascade_is_exact_beyond_the_bound(spark):
-    hosts = [f"h{i}.t{i % 7}.org" for i in range(2000)]
-    listed = [f"{h} /p" for h in hosts[::9]]
-    df = spark.createDataFrame([(h, "/p/q") for h in hosts], "host string, path string").repartition(3)
-    cascade = urls.build_cascade(df, listed, [2], bound=0)
-    assert len(cascade.levels) > 1
-    assert {k for h in hosts for _, _, k in urls.candidate_keys(h, "/p/q", [2]) if k in cascade} == set(listed)
-
-
 def test_rule_counts(spark, documents, odd):
     for df in (documents, odd):
         texts = defaultdict(list)
