@@ -90,9 +90,10 @@ def test_cascade_is_exact_over_its_universe(spark, monkeypatch, most):
     host, path = urls.address()
     rules = spark.createDataFrame(table, "verdict string, host string, path string")
     addresses = df.select(host.alias("host"), path.alias("path"))
-    cascade = urls.build_cascade(addresses, rules.select(urls.key_of().alias("key")), urls.shapes_of(rules))
+    shapes = urls.shapes_of(rules)
+    cascade = urls.build_cascade(addresses, rules.select(urls.key_of().alias("key")), shapes)
     assert len(cascade.levels) > 1 and cascade.n_bytes() < 150 * 4
-    universe = {k for r in addresses.collect() for k in urls.candidate_keys(r.host, r.path, urls.shapes_of(rules))}
+    universe = {k for r in addresses.collect() for k in urls.candidate_keys(r.host, r.path, shapes)}
     assert {k for k in universe if k in cascade} == {f"{h} {p}" for _, h, p in table} & universe and len(universe) > 1000
 
 
