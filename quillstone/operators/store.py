@@ -3,11 +3,12 @@
 Admission replays what happens when rows arrive one by one: a row whose number
 was stored before, with the same vendor or (if it names no vendor) with any,
 is skipped; a row without a number is only kept out by the uniqueness of
-(number, vendor).  Two window ranks say the same for whole batches.
+(number, vendor).  Two minima by key say the same for whole batches.
 """
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,17 +17,31 @@ from pyspark.sql import functions as F
 from quillstone.config import FIELDS
 from quillstone.functions.text import col
 from quillstone.schema import STORED
+from quillstone.session import materialise
 
 
-def admission(df: DataFrame, order: list[str | Column], number: str = "invoice_number", vendor: str = "vendor_name", avoid_duplicates: bool = True) -> DataFrame:
-    """Adds ``stored`` (the row is in the table afterwards) and ``counted`` (it is reported as inserted)."""
-    n, v = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (number, vendor))
-    pair = F.row_number().over(Window.partitionBy(n, v).orderBy(*order)) == 1
-    if not avoid_duplicates:
-        return df.withColumn("stored", pair).withColumn("counted", F.lit(True))
-    # rows without a number do not need this rank, so they are spread by vendor too
-    first = F.row_number().over(Window.partitionBy(n, F.when(n == "", v)).orderBy(*order)) == 1
-    return df.withColumn("stored", pair & ((v != "") | (n == "") | first)).withColumn("counted", F.col("stored") | (n == ""))
+def admission(df: DataFrame, order: list[str], number: str = "invoice_number", vendor: str = "vendor_name", avoid_duplicates: bool = True) -> DataFrame:
+    """Adds ``stored`` (the row is in the table afterwards) and ``counted`` (it is reported as inserted).
+
+    The first row of each (number, vendor), and of each number, is a minimum
+    that partitions take before they shuffle, so no key is hot.  Rows that are
+    equal in ``order`` are told apart by a number that is stored with them; ties
+    go to either.
+    """
+    rows = materialise(df.withColumn("__tie", F.monotonically_increasing_id()))
+    slim = rows.select(F.coalesce(F.col(number).cast("string"), F.lit("")).alias("n"), F.coalesce(F.col(vendor).cast("string"), F.lit("")).alias("v"), F.struct(*order, "__tie").alias("at"))
+    pairs = slim.groupBy("n", "v").agg(F.min("at").alias("at"))
+    if avoid_duplicates:
+        # a row without a number, or with a vendor, only has to be the first of its pair
+        free = pairs.where("n = '' or v <> ''")
+        bare = pairs.where("n <> ''").groupBy("n").agg(F.min_by(F.struct("v", "at"), "at").alias("f")).where("f.v = ''").select(F.col("f.at").alias("at"))
+        first = free.select("at").unionByName(bare)
+    else:
+        first = pairs.select("at")
+    marked = rows.join(first.select(F.col("at.__tie").alias("__tie"), F.lit(True).alias("stored")), "__tie", "left")
+    stored = F.coalesce("stored", F.lit(False))
+    counted = stored | (F.coalesce(F.col(number).cast("string"), F.lit("")) == "") if avoid_duplicates else F.lit(True)
+    return marked.select(*df.columns, stored.alias("stored"), counted.alias("counted"))
 
 
 def admit(new: DataFrame, order: list[str], existing: DataFrame | None = None, number: str = "invoice_number", vendor: str = "vendor_name") -> DataFrame:
@@ -38,7 +53,7 @@ def admit(new: DataFrame, order: list[str], existing: DataFrame | None = None, n
     return admission(both, ["__batch", *order], number, vendor).where("stored and __batch = 1").drop("stored", "counted", "__batch")
 
 
-def admission_counts(df: DataFrame, order: list[str | Column], **names: str) -> DataFrame:
+def admission_counts(df: DataFrame, order: list[str], **names: str) -> DataFrame:
     """One row: rows, stored, inserted and skipped."""
     marked = admission(df, order, **names)
     return marked.agg(F.count("*").alias("rows"), F.count_if("stored").alias("stored"), F.count_if("counted").alias("inserted"), F.count_if(~F.col("counted")).alias("skipped"))
@@ -56,13 +71,18 @@ def to_stored(df: DataFrame, created_at: str | Column | None = None) -> DataFram
 
 
 def with_ids(df: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """Adds ``id``, dense in ``order``: ranges are sorted in parallel and offset by the rows before them."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part, inner = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    spread = spread.withColumn("__part", part)
+    """Adds ``id``, dense in ``order``: ranges are sorted in parallel and offset by the rows before them.
+
+    The sorted rows are stored with their places, as ranges that were made
+    twice need not be the same.
+    """
+    at = F.monotonically_increasing_id()
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at)
+    spread = materialise(spread.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1)))
     sizes = spread.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return spread.join(offsets, "__part").withColumn("id", F.lit(start + 1) + F.col("__before") + inner).drop("__at", "__part", "__before")
+    # one row a partition
+    offsets = F.broadcast(sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
+    return spread.join(offsets, "__part").withColumn("id", F.lit(start + 1) + F.col("__before") + F.col("__at")).drop("__at", "__part", "__before")
 
 
 def exists(store: DataFrame, candidates: DataFrame, number: str = "invoice_number", vendor: str = "vendor_name") -> DataFrame:
@@ -89,6 +109,15 @@ def real(c: str | Column) -> Column:
     return F.coalesce(lead.try_cast("double"), F.lit(0.0))
 
 
+_CAPITALS, _SMALL = string.ascii_uppercase, string.ascii_lowercase
+
+
+def like(c: str | Column, pattern: str) -> Column:
+    """Whether text fits a pattern with % and _, in any case of A-Z; all other characters stand for themselves."""
+    plain = pattern.translate(str.maketrans(_CAPITALS, _SMALL)).replace("\\", "\\\\")
+    return F.translate(col(c), _CAPITALS, _SMALL).like(plain)
+
+
 def search(store: DataFrame, vendor_name: str | None = None, date_from: str | None = None, date_to: str | None = None, min_amount: float | None = None, max_amount: float | None = None, ordered: bool = True) -> DataFrame:
     """Rows that meet all given conditions, the latest invoice date first.
 
@@ -98,7 +127,7 @@ def search(store: DataFrame, vendor_name: str | None = None, date_from: str | No
     """
     tests = []
     if vendor_name:
-        tests.append(F.col("vendor_name").ilike(f"%{vendor_name}%"))
+        tests.append(like("vendor_name", f"%{vendor_name}%"))
     if date_from:
         tests.append(F.col("invoice_date") >= date_from)
     if date_to:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC dates, adaptive plans and skew handling, and small Arrow batches for pages of images.
 CONF = {
@@ -21,3 +23,17 @@ def session(app: str = "quillstone", master: str | None = None, **conf: str) ->
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once into the shared checkpoint folder and reads it back, for values that must not be made twice.
+
+    The folder is the one that the cluster names; a session on this machine alone may do without.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+    return df.checkpoint(eager=True)

@@ -63,6 +63,35 @@ def test_ids_are_dense(spark):
     assert [r.x for r in got] == sorted(r.x for r in got)
 
 
+def test_ids_of_wide_rows(spark):
+    """Adaptive execution joins small partitions differently with and without a wide column."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("65536", "-1", "64"), strict=True):
+            spark.conf.set(k, v)
+        df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("x"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("wide"))
+        got = [(r.id, r.x) for r in store.with_ids(df, ["x"]).select("id", "x", F.length("wide")).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(i for i, _ in got) == list(range(1, 20001)) and [x for _, x in sorted(got)] == sorted(x for _, x in got)
+
+
+def test_patterns_of_names(spark):
+    df = spark.createDataFrame([("ÄRGER 50%",), ("a\\b",), ("A_B",), (None,)], "vendor_name string")
+    found = lambda p: {r.vendor_name for r in store.search(df, vendor_name=p, ordered=False).collect()}
+    assert found("ärger") == set() and found("Ärger") == {"ÄRGER 50%"}
+    assert found("rger") == {"ÄRGER 50%"} and found("\\B") == {"a\\b"} and found("a_b") == {"a\\b", "A_B"}
+
+
+def test_admission_of_equal_rows_and_hot_keys(spark):
+    rows = [("", "")] * 500 + [("7", "")] * 300 + [("7", "A")] * 300 + [(None, None)] * 50
+    df = spark.createDataFrame([(1, n, v) for n, v in rows], "i int, invoice_number string, vendor_name string").repartition(5)
+    marked = store.admission(df, ["i"])
+    kept = sorted((r.invoice_number or "", r.vendor_name or "") for r in marked.where("stored").collect())
+    assert marked.count() == len(rows) and kept.count(("", "")) == 1 and kept.count(("7", "A")) == 1 and kept.count(("7", "")) <= 1
+
+
 def test_batches_of_a_stream_match_one_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i, rng.choice(["", "1", "2", "3", "4"]), rng.choice(["", "A", "B"])) for i in range(60)]
