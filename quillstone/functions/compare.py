@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import col, is_empty, squeeze, strip
+from quillstone.functions.text import bind, col, is_empty, squeeze, strip
 
 
 def float_text(c: Column) -> Column:
@@ -15,15 +15,21 @@ def float_text(c: Column) -> Column:
     return F.regexp_replace(short, r"^(-?)\.", "${1}0.")
 
 
-def comparable(field: str, c: str | Column, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
-    """The value as it is compared: amounts as numbers, dates as digits."""
+def comparable(field: str | Column, c: str | Column, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
+    """The value as it is compared: amounts as numbers, dates as digits.  The field's name is text, or a column of names."""
     s = strip(F.coalesce(col(c), F.lit("")))
     s = s if case_sensitive else F.lower(s)
     s = squeeze(s) if squeeze_blanks else s
-    if "amount" in field.lower():
-        s = F.translate(F.regexp_replace(s, r"[^\d.,]", ""), ",", ".")
-        return F.when(s.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.coalesce(float_text(s), s)).otherwise(s)
-    return F.regexp_replace(s, r"[^\d]", "") if "date" in field.lower() else s
+    amount = lambda s: bind(F.translate(F.regexp_replace(s, r"[^\d.,]", ""), ",", "."), _as_number)
+    date = lambda s: F.regexp_replace(s, r"[^\d]", "")
+    if isinstance(field, str):
+        return amount(s) if "amount" in field.lower() else date(s) if "date" in field.lower() else s
+    name = F.lower(field)
+    return bind(s, lambda s: F.when(F.contains(name, F.lit("amount")), amount(s)).when(F.contains(name, F.lit("date")), date(s)).otherwise(s))
+
+
+def _as_number(s: Column) -> Column:
+    return F.when(s.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.coalesce(float_text(s), s)).otherwise(s)
 
 
 def similarity(a: str | Column, b: str | Column) -> Column:
@@ -33,8 +39,13 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.when(is_empty(a) | is_empty(b), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
-def match(field: str, predicted: str | Column, truth: str | Column, threshold: float = 0.8, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
+def match(field: str | Column, predicted: str | Column, truth: str | Column, threshold: float = 0.8, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
     """Struct of exact and partial.  An empty truth matches nothing; an exact match is partial too."""
-    p, t = (comparable(field, x, case_sensitive, squeeze_blanks) for x in (predicted, truth))
-    exact = ~is_empty(truth) & (p == t)
-    return F.struct(exact.alias("exact"), (exact | (~is_empty(truth) & (similarity(p, t) >= threshold))).alias("partial"))
+    both = F.struct(*[comparable(field, x, case_sensitive, squeeze_blanks).alias(n) for n, x in (("p", predicted), ("t", truth))])
+    given = ~is_empty(truth)
+
+    def of(b: Column) -> Column:
+        exact = given & (b.p == b.t)
+        return F.struct(exact.alias("exact"), (exact | (given & (similarity(b.p, b.t) >= threshold))).alias("partial"))
+
+    return bind(both, of)

@@ -13,21 +13,28 @@ from quillstone.functions.text import is_empty
 
 def index(truth: DataFrame, order: str = "idx", name: str = "source_file") -> DataFrame:
     """(key, record): by full name and by base name; the last record with a key wins."""
-    named = truth.where(~is_empty(name)).withColumn("__r", F.struct(*[c for c in truth.columns]))
-    keys = named.select(F.explode(F.array_distinct(F.array(F.col(name), basename(name)))).alias("key"), order, "__r")
-    return keys.groupBy("key").agg(F.max_by("__r", order).alias("record"))
+    return _keys(truth, order, name).join(truth.select(F.col(order).alias("__at"), F.struct(*truth.columns).alias("record")), F.col("place") == F.col("__at")).select("key", "record")
+
+
+def _keys(truth: DataFrame, order: str, name: str) -> DataFrame:
+    """(key, place) of the last record with each key."""
+    keys = truth.where(~is_empty(name)).select(F.explode(F.array_distinct(F.array(F.col(name), basename(name)))).alias("key"), F.col(order).alias("place"))
+    return keys.groupBy("key").agg(F.max("place").alias("place"))
 
 
 def lookup(predictions: DataFrame, truth: DataFrame, order: str = "idx", name: str = "source_file", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Each prediction with ``gt_<field>`` of its record: by its full name, else its base name, else empty.
 
-    Spark picks the join: the truth is broadcast where its measured size allows.
+    Names are joined to places, and the record of a place is fetched once.
+    Spark picks the joins: a side is broadcast where its measured size allows.
     """
-    by_key = index(truth, order, name)
-    full = by_key.select(F.col("key").alias("__full"), F.col("record").alias("__a"))
-    base = by_key.select(F.col("key").alias("__base"), F.col("record").alias("__b"))
-    joined = predictions.withColumn("__name", basename(name)).join(full, F.col(name) == F.col("__full"), "left").join(base, F.col("__name") == F.col("__base"), "left")
-    record = F.coalesce("__a", "__b")
+    by_key = _keys(truth, order, name)
+    full = by_key.select(F.col("key").alias("__full"), F.col("place").alias("__a"))
+    base = by_key.select(F.col("key").alias("__base"), F.col("place").alias("__b"))
+    found = predictions.withColumn("__name", basename(name)).join(full, F.col(name) == F.col("__full"), "left").join(base, F.col("__name") == F.col("__base"), "left")
+    records = truth.select(F.col(order).alias("__at"), F.struct(*fields).alias("__record"))
+    joined = found.join(records, F.coalesce("__a", "__b") == F.col("__at"), "left")
+    record = F.col("__record")
     return joined.select(*[F.col(c) for c in predictions.columns], *[F.coalesce(record[f], F.lit("")).alias(f"gt_{f}") for f in fields], record.isNotNull().alias("gt_found"))
 
 
@@ -49,9 +56,10 @@ def compared(pairs: DataFrame, keys: list[str], threshold: float = 0.8, fields:
     parts = []
     for f in fields:
         conf = F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0)) if f"{f}_confidence" in pairs.columns else F.lit(0.0)
-        m = match(f, f, f"gt_{f}", threshold, case_sensitive, squeeze_blanks)
-        parts.append(F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("predicted"), F.coalesce(f"gt_{f}", F.lit("")).alias("truth"), conf.alias("confidence"), (~is_empty(f)).alias("extracted"), m.exact.alias("exact"), m.partial.alias("partial")))
-    return pairs.select(*keys, F.explode(F.array(*parts)).alias("c")).select(*keys, "c.*")
+        parts.append(F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("predicted"), F.coalesce(f"gt_{f}", F.lit("")).alias("truth"), conf.alias("confidence")))
+    # raw values first, so that the comparison stands once in the code, whatever the number of fields
+    rows = pairs.select(*keys, F.explode(F.array(*parts)).alias("c")).select(*keys, "c.*")
+    return rows.withColumn("m", match(F.col("field"), "predicted", "truth", threshold, case_sensitive, squeeze_blanks)).select(*keys, "field", "predicted", "truth", "confidence", (~is_empty("predicted")).alias("extracted"), "m.exact", "m.partial")
 
 
 def confidences(pairs: DataFrame, order: str = "idx", fields: tuple[str, ...] = FIELDS) -> DataFrame:
