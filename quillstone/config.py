@@ -61,6 +61,12 @@ class Settings:
     """Immutable settings; ``get`` takes dotted names."""
 
     values: Mapping[str, Any] = field(default_factory=lambda: DEFAULTS)
+    #: The file that they were read from.
+    path: str | None = None
+
+    def reload(self) -> Settings:
+        """The settings as the file has them now."""
+        return load(self.path)
 
     def get(self, name: str, default: Any = None) -> Any:
         at: Any = self.values
@@ -74,7 +80,7 @@ class Settings:
         return dict(self.values)
 
     def with_values(self, over: Mapping[str, Any]) -> Settings:
-        return Settings(merge(self.values, over))
+        return Settings(merge(self.values, over), self.path)
 
 
 def load(path: str | None = None) -> Settings:
@@ -92,4 +98,4 @@ def load(path: str | None = None) -> Settings:
     values = merge(DEFAULTS, given)
     root = Path(path).resolve().parent
     values["paths"] = {k: str(root / v) for k, v in values.get("paths", {}).items()}
-    return Settings(values)
+    return Settings(values, path)

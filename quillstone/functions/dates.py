@@ -123,6 +123,14 @@ def extract_date(c: str | Column, more: bool = False) -> Column:
     return F.get(F.filter(F.transform(tried, lambda x: normalize_date(x, more)), lambda x: x.isNotNull()), F.lit(0))
 
 
+def with_extracted_date(df: DataFrame, source: str, target: str, default: dt.date | None = None) -> DataFrame:
+    """Adds ``target``, the date found in text.  With ``default``, text that gives none goes whole to the fuzzy parser."""
+    found = df.withColumn(target, extract_date(source, more=True))
+    if default is None:
+        return found
+    return found.withColumn(target, F.coalesce(F.col(target), fuzzy_date(default)(F.when(F.col(target).isNull(), clean_date(source)))))
+
+
 def is_valid_date(c: str | Column) -> Column:
     return normalize_date(c).isNotNull()
 

@@ -122,6 +122,15 @@ def nested(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias("words")).withColumn("is_empty", F.size("words") == 0)
 
 
+def serialised(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
+    """One row a page: its text, counts, mean confidence, words and lines as JSON.  A page without words has no row."""
+    word = F.struct("word_index", "text", F.struct("x1", "y1", "x2", "y2").alias("bbox"), "confidence", "line_index")
+    line = F.struct("line_index", "text", F.struct("x1", "y1", "x2", "y2").alias("bbox"), "average_confidence", "word_count")
+    of = lambda df, s, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(s)).alias(name))
+    pages = page_text(words, keys).join(of(words, word, "words"), keys).join(of(lines(words, keys), line, "lines"), keys)
+    return pages.select(*keys, F.to_json(F.struct("text", "word_count", "line_count", "average_confidence", "words", "lines")).alias("json"))
+
+
 def resized(w: str | Column, h: str | Column, max_w: int = 2480, max_h: int = 3508) -> Column:
     """Size after shrinking to the limits with the aspect kept, rounded down; never larger."""
     w, h = col(w), col(h)

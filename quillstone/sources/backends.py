@@ -95,12 +95,26 @@ def _poppler(settings: Settings) -> Callable[[bytes], Iterator[dict]]:
     import pdf2image
 
     most = 1 if settings.get("input.pdf.first_page_only", True) else settings.get("input.pdf.max_pages", 10)
+    told = {"Title": "pdf_title", "Author": "pdf_author", "Creator": "pdf_creator", "CreationDate": "pdf_creationDate", "Pages": "total_pages"}
+
+    def texts(content: bytes) -> list[str]:
+        """Text of the pages, where the library that reads it is there."""
+        try:
+            import pdfplumber
+
+            with pdfplumber.open(io.BytesIO(content)) as doc:
+                return [p.extract_text() or "" for p in doc.pages[:most]]
+        except Exception:  # noqa: BLE001 - a page without text is a scanned one
+            return []
 
     def render(content: bytes) -> Iterator[dict]:
-        for image in pdf2image.convert_from_bytes(content, dpi=settings.get("input.pdf.dpi", 300), first_page=1, last_page=most):
+        info = pdf2image.pdfinfo_from_bytes(content)
+        meta = {name: str(info[k]) for k, name in told.items() if info.get(k)}
+        found = texts(content)
+        for i, image in enumerate(pdf2image.convert_from_bytes(content, dpi=settings.get("input.pdf.dpi", 300), first_page=1, last_page=most)):
             out = io.BytesIO()
             image.convert("RGB").save(out, "PNG")
-            yield {"image": out.getvalue(), "width": image.width, "height": image.height, "text": None, "metadata": {}}
+            yield {"image": out.getvalue(), "width": image.width, "height": image.height, "text": found[i] if i < len(found) else None, "metadata": meta}
 
     return render
 

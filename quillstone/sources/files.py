@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.config import DEFAULTS
@@ -52,15 +52,23 @@ def enumerate_inputs(spark: SparkSession, path: str, extensions: tuple[str, ...]
 
 
 def load(spark: SparkSession, path: str, extensions: tuple[str, ...] = EXTENSIONS, recursive: bool = False) -> DataFrame:
-    """One row a file with its content; files that can't be used are rows with ``success`` false and the reason."""
+    """One row a file with its content; files that can't be used are rows with ``success`` false and the reason.
+
+    The scan names and checks its own files, so content meets no join; only
+    paths are compared to find what the scan did not give.
+    """
     wanted = "*.{" + ",".join(sorted({v for e in extensions for v in (e[1:], e[1:].upper(), e[1:].capitalize())})) + "}"
     scan = spark.read.format("binaryFile").option("pathGlobFilter", wanted).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    content = scan.select(F.col("path").alias("__path"), F.col("modificationTime").alias("modification_time"), "content")
-    rows = validated(listing(spark, path, recursive), extensions)
-    joined = rows.join(content, _same(F.col("path")) == _same(F.col("__path")), "left")
-    error = F.coalesce("error", F.when(F.col("content").isNull(), "file could not be read"))
-    meta = F.create_map(F.lit("original_filename"), F.col("filename"), F.lit("file_size_bytes"), F.col("length").cast("string"), F.lit("file_type"), extension("path"))
-    return joined.select("path", "filename", "file_type", "length", "modification_time", "content", meta.alias("metadata"), error.isNull().alias("success"), error.alias("error"))
+    meta = F.create_map(F.lit("original_filename"), basename("path"), F.lit("file_size_bytes"), F.col("length").cast("string"), F.lit("file_type"), extension("path"))
+
+    def rows(df: DataFrame, when: Column, content: Column, error: Column) -> DataFrame:
+        return df.select("path", basename("path").alias("filename"), file_type("path").alias("file_type"), "length", when.alias("modification_time"), content.alias("content"), meta.alias("metadata"), error.isNull().alias("success"), error.alias("error"))
+
+    good = rows(scan, F.col("modificationTime"), F.col("content"), F.lit(None).cast("string"))
+    listed = validated(listing(spark, path, recursive), extensions).withColumn("__same", _same(F.col("path")))
+    unread = listed.where("error is null").join(scan.select(_same(F.col("path")).alias("__same")), "__same", "left_anti")
+    bad = listed.where("error is not null").unionByName(unread.withColumn("error", F.lit("file could not be read")).select(*listed.columns))
+    return good.unionByName(rows(bad, F.lit(None).cast("timestamp"), F.lit(None).cast("binary"), F.col("error")))
 
 
 def _same(path):
@@ -78,5 +86,6 @@ def first_page(pages: DataFrame) -> DataFrame:
 
 
 def page_counts(pages: DataFrame) -> DataFrame:
-    """Pages of each file, at least 1 as a file that can't be counted has."""
-    return pages.groupBy("path").agg(F.greatest(F.count("page_idx"), F.lit(1)).alias("page_count"))
+    """Pages of each file as the backend counted them, else the pages that were rendered; at least 1."""
+    told = F.max(F.try_element_at("metadata", F.lit("total_pages")).try_cast("int")) if "metadata" in pages.columns else F.lit(None).cast("int")
+    return pages.groupBy("path").agg(F.greatest(F.coalesce(told, F.count("page_idx").cast("int")), F.lit(1)).alias("page_count"))

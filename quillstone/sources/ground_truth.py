@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.config import FIELDS
 from quillstone.errors import ConfigurationError
 from quillstone.functions.files import extension
+from quillstone.operators.store import with_ids
 
 _RECORD = "struct<source_file:string,filename:string," + ",".join(f"{f}:string" for f in FIELDS) + ">"
 _NESTED = "struct<filename:string,source_file:string,fields:struct<" + ",".join(f"{f}:string" for f in FIELDS) + ">>"
@@ -24,7 +25,12 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of records, ``{"records": [...]}``, ``{"invoices": [{"filename", "fields"}]}``, or records by file name."""
-    text = spark.read.text(path, wholetext=True).select("value")
+    return parse_json(spark.read.text(path, wholetext=True))
+
+
+def parse_json(text: DataFrame) -> DataFrame:
+    """The records of each row's JSON in ``value``."""
+    text = text.select("value")
     is_list = F.col("value").rlike(r"^\s*\[")
     top = F.when(~is_list, F.from_json("value", "map<string,string>"))
     parsed = text.select(
@@ -49,7 +55,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     name = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("source_file", "filename") if c in df.columns] or [F.lit(None).cast("string")])
     r = F.struct(name.alias("source_file"), *[(F.col(f) if f in df.columns else F.lit(None).cast("string")).alias(f) for f in FIELDS])
     numbered = df.select(r.alias("r"), F.monotonically_increasing_id().alias("at"))
-    return _finish(numbered.select((F.row_number().over(Window.orderBy("at")) - 1).alias("idx"), "r"))
+    return _finish(with_ids(numbered, ["at"], start=-1).select(F.col("id").alias("idx"), "r"))
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:

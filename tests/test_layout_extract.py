@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quillstone.config import FIELDS
@@ -17,6 +19,9 @@ def test_words_lines_and_pages(spark):
     r = layout.model_input(layout.normalize_boxes(words.withColumns({"image_width": F.lit(100), "image_height": F.lit(100)}))).first()
     assert r.words == ["b", "a", "c"] and r.boxes[0] == [500, 0, 700, 300]
     assert layout.nested(words).first().words[0].word_index == 0
+    page = json.loads(layout.serialised(words).first().json)
+    assert page["text"] == "a b\nc" and page["word_count"] == 3 and page["lines"][0]["bbox"] == {"x1": 10, "y1": 0, "x2": 70, "y2": 30}
+    assert [w["text"] for w in page["words"]] == ["b", "a", "c"]
 
 
 def test_box_scaling(spark):

@@ -3,7 +3,7 @@ import sqlite3
 
 import pytest
 
-from quillstone import config
+from quillstone import cli, config
 from quillstone.config import FIELDS
 from quillstone.errors import ConfigurationError, MissingFileError, QuillstoneError, UnsupportedFileTypeError
 from quillstone.operators import store
@@ -73,6 +73,44 @@ def test_pipeline_with_stand_in_backends(spark, folder):
     assert pipeline.admitted(found.headers).count() == 2
 
 
+def _counting(make, log, name):
+    """A backend that writes a line for every page it sees."""
+
+    def made(settings):
+        inner = make(settings)
+
+        def run(image, *more):
+            with open(log, "a") as f:
+                f.write(f"{name}\n")
+            return inner(image, *more)
+
+        return run
+
+    return backends.Backend(name, made)
+
+
+def test_command_line_run(spark, folder, tmp_path, capsys):
+    log = str(tmp_path / "calls")
+    backends.PDF.add(backends.Backend("plain", _render))
+    choice = pipeline.Choice(pdf="plain", image=lambda s: lambda c: next(_render(s)(c)), ocr=_counting(_read, log, "ocr"), qa=_counting(_ask, log, "qa"))
+    truth = tmp_path / "truth.json"
+    truth.write_text(json.dumps([{"source_file": "a.pdf", "invoice_number": "INV-7", "vendor_name": "Acme Ltd"}, {"source_file": "b.PNG", "total_amount": "99"}]))
+    args = cli.parser().parse_args([folder, "-o", str(tmp_path / "out"), "--evaluate", str(truth), "--report", "json"])
+    assert cli.run(args, choice) == 0
+    calls = open(log).read().split()
+    assert calls.count("ocr") == 2 and calls.count("qa") == 2 * len(FIELDS)
+    out, err = capsys.readouterr()
+    report = json.loads(out[out.index("{") :])
+    assert report["field_metrics"]["vendor_name"]["avg_confidence"] == pytest.approx(0.9) and report["total_samples"] == 2
+    assert "2 incomplete records" in err and "broken.pdf" in err
+    assert cli.choice_of(cli.parser().parse_args([folder, "--qa", "none", "--default-date", "2024-02-01"])).default_date.day == 1
+
+
+def test_page_counts(spark):
+    pages = spark.createDataFrame([("a", 0, {"total_pages": "7"}), ("b", 0, {}), ("b", 1, {})], "path string, page_idx int, metadata map<string,string>")
+    assert {r.path: r.page_count for r in files.page_counts(pages).collect()} == {"a": 7, "b": 2}
+
+
 def test_backends_fall_back_or_fail():
     r = backends.Registry("ocr", "base")
     r.add(backends.Backend("base", _read))
@@ -160,6 +198,8 @@ def test_settings(tmp_path):
     s = config.load(str(p))
     assert s.get("input.pdf.dpi") == 100 and s.get("input.pdf.max_pages") == 10
     assert s.get("no.such", 5) == 5 and s.get("paths.output_dir") == str(tmp_path / "out")
+    p.write_text("input:\n  pdf:\n    dpi: 200\n")
+    assert s.get("input.pdf.dpi") == 100 and s.reload().get("input.pdf.dpi") == 200 and config.Settings().reload() == config.Settings()
     with pytest.raises(ConfigurationError):
         config.load(str(tmp_path / "none.yaml"))
     assert str(QuillstoneError("m", a=1)) == "m | Details: {'a': 1}"
