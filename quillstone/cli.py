@@ -92,8 +92,8 @@ def run(args: argparse.Namespace, choice: Choice | None = None) -> int:
     failed = 0
     sinks = []
     if settings.get("output.excel.enabled", True) and not args.no_excel:
-        name = target if target.suffix == ".xlsx" else folder / settings.get("output.excel.filename_pattern").format(timestamp=stamp)
-        sinks.append(("workbook", lambda: workbook.export(headers, str(name), settings.get("output.excel.sheet_name"))))
+        book = target if target.suffix == ".xlsx" else folder / settings.get("output.excel.filename_pattern").format(timestamp=stamp)
+        sinks.append(("workbook", lambda: workbook.export(headers, str(book), settings.get("output.excel.sheet_name"))))
     if settings.get("output.database.enabled", True) and not args.no_database:
         base, table = folder / settings.get("output.database.name"), settings.get("output.database.table_name")
         sinks.append(("database", lambda: sqlite.append(pipeline.admitted(headers), str(base), table)))

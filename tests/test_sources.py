@@ -102,6 +102,9 @@ def test_command_line_run(spark, folder, tmp_path, capsys):
     out, err = capsys.readouterr()
     report = json.loads(out[out.index("{") :])
     assert report["field_metrics"]["vendor_name"]["avg_confidence"] == pytest.approx(0.9) and report["total_samples"] == 2
+    made = sorted((tmp_path / "out").iterdir())
+    assert [m.suffix for m in made] == [".db", ".xlsx"] and len(workbook.read_sheet(str(made[1]))) == 3
+    assert sqlite.read(spark, str(made[0])).count() == 2
     assert "2 incomplete records" in err and "broken.pdf" in err
     assert cli.choice_of(cli.parser().parse_args([folder, "--qa", "none", "--default-date", "2024-02-01"])).default_date.day == 1
 
