@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.config import FIELDS
-from quillstone.functions import amounts, compare, dates, files, text, validate
+from quillstone.functions import amounts, compare, dates, files, maps, text, validate
 from quillstone.operators import evaluate, extract, layout, postprocess, store
 from quillstone.plans import fixtures as fx
+from quillstone.plans import reports
 from quillstone.plans.fixtures import ARRIVAL_ORDER, table
+from quillstone.sources import ground_truth, workbook
+from quillstone.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -35,6 +39,27 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
+# --- values of the SQL twins ----------------------------------------------------------------------------------------
+
+# Fixed values, written out again here, so that a wrong one in the functions does not agree with itself.
+_LEADS = ("date:", "dated:", "invoice date:", "due date:", "on")
+_DATE_FORMATS = ("%m/%d/%Y", "%d/%m/%Y", "%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y")
+_DATES_IN_TEXT = (
+    r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b",
+    r"\b(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\b",
+    r"\b((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{2,4})\b",
+    r"\b(\d{1,2})(?:st|nd|rd|th)?\s+((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*)\s+(\d{2,4})\b",
+)
+_AMOUNTS_IN_TEXT = (r"(?i)[\$€£¥₹]?\s*[\d,]+\.?\d*", r"(?i)[\d,]+\.?\d*\s*(?:USD|EUR|GBP|INR)?")
+_NAME_LEADS = ("vendor:", "customer:", "bill to:", "ship to:", "from:", "to:")
+_SIZES = ("B", "KB", "MB", "GB", "TB")
+_FALLBACK = {
+    "invoice_number": (r"Invoice\s*(?:#|No\.?|Number)?\s*[:\s]?\s*([A-Z0-9-]+)", r"INV[:\s-]?\s*([A-Z0-9-]+)", r"Bill\s*(?:#|No\.?)?\s*[:\s]?\s*([A-Z0-9-]+)"),
+    "total_amount": (r"Total\s*(?:Amount|Due)?\s*[:\s]?\s*\$?\s*([\d,]+\.?\d*)", r"Grand\s*Total\s*[:\s]?\s*\$?\s*([\d,]+\.?\d*)", r"Amount\s*Due\s*[:\s]?\s*\$?\s*([\d,]+\.?\d*)"),
+    "invoice_date": (r"(?:Invoice\s*)?Date\s*[:\s]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"Dated?\s*[:\s]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4})"),
+    "payment_due_date": (r"Due\s*Date\s*[:\s]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", r"Pay(?:ment)?\s*(?:Due\s*)?By\s*[:\s]?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"),
+}
+
 # --- SQL of the scalar functions -----------------------------------------------------------------------------------
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -50,13 +75,13 @@ def _strip(c: str) -> str:
 
 def _clean_date(c: str) -> str:
     s = _squeeze(c)
-    for p in dates.DATE_PREFIXES:
+    for p in _LEADS:
         s = f"(CASE WHEN starts_with(lower({s}), '{p}') THEN trim(substr({s}, {len(p) + 1})) ELSE {s} END)"
     return rf"regexp_replace({s}, '(?i)(\d+)(st|nd|rd|th)', '\1', 'g')"
 
 
 def _iso(c: str) -> str:
-    formats = ", ".join(f"'{f[0]}'" for f in dates.FORMATS)
+    formats = ", ".join(f"'{f}'" for f in _DATE_FORMATS)
     return f"strftime(try_strptime({c}, [{formats}]), '%Y-%m-%d')"
 
 
@@ -76,7 +101,7 @@ def _with(*ctes: str) -> str:
 _RAW = _with(fx.RAW_HEADERS)
 _HEADERS = _with(fx.RAW_HEADERS, fx.HEADERS)
 #: Cleaned dates are computed once, as the nested prefixes would make the text long.
-_DATED = fx.RAW_HEADERS + f", squeezed AS (SELECT *, {_squeeze('invoice_date')} AS d0 FROM raw_headers)" + "".join(f", p{i} AS (SELECT *, CASE WHEN starts_with(lower(d{i}), '{p}') THEN trim(substr(d{i}, {len(p) + 1})) ELSE d{i} END AS d{i + 1} FROM {'squeezed' if i == 0 else f'p{i - 1}'})" for i, p in enumerate(dates.DATE_PREFIXES)) + rf", dated AS (SELECT *, {_iso(rf'''regexp_replace(d{len(dates.DATE_PREFIXES)}, '(?i)(\d+)(st|nd|rd|th)', '\1', 'g')''')} AS iso FROM p{len(dates.DATE_PREFIXES) - 1})"
+_DATED = fx.RAW_HEADERS + f", squeezed AS (SELECT *, {_squeeze('invoice_date')} AS d0 FROM raw_headers)" + "".join(f", p{i} AS (SELECT *, CASE WHEN starts_with(lower(d{i}), '{p}') THEN trim(substr(d{i}, {len(p) + 1})) ELSE d{i} END AS d{i + 1} FROM {'squeezed' if i == 0 else f'p{i - 1}'})" for i, p in enumerate(_LEADS)) + rf", dated AS (SELECT *, {_iso(rf'''regexp_replace(d{len(_LEADS)}, '(?i)(\d+)(st|nd|rd|th)', '\1', 'g')''')} AS iso FROM p{len(_LEADS) - 1})"
 
 
 # --- normalisation -------------------------------------------------------------------------------------------------
@@ -104,7 +129,7 @@ def date_normalize_formats(spark, sf_dir):
 
 
 def _found_in_text(c: str) -> str:
-    return "coalesce(" + ", ".join(_iso(f"nullif(regexp_extract({c}, '(?i){p}', 0), '')") for p in dates.IN_TEXT) + f", {_iso(c)})"
+    return "coalesce(" + ", ".join(_iso(f"nullif(regexp_extract({c}, '(?i){p}', 0), '')") for p in _DATES_IN_TEXT) + f", {_iso(c)})"
 
 
 @_query(f"SELECT k, {_found_in_text('body')} AS iso FROM (SELECT o_orderkey AS k, 'issued ' || CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%B %-d, %Y') ELSE strftime(o_orderdate, '%-d %B %Y') END || ' by post' AS body FROM orders)")
@@ -126,7 +151,7 @@ def amount_normalize_eu(spark, sf_dir):
 
 
 @_query(
-    f"SELECT k, coalesce(" + ", ".join(f"list_filter(list_transform(regexp_extract_all(body, '{p}'), lambda x: {_amount('x')}), lambda x: TRY_CAST(x AS DOUBLE) > 0)[1]" for p in amounts.IN_TEXT) + f", {_amount('body')}) AS amount"
+    f"SELECT k, coalesce(" + ", ".join(f"list_filter(list_transform(regexp_extract_all(body, '{p}'), lambda x: {_amount('x')}), lambda x: TRY_CAST(x AS DOUBLE) > 0)[1]" for p in _AMOUNTS_IN_TEXT) + f", {_amount('body')}) AS amount"
     " FROM (SELECT o_orderkey AS k, 'pay ' || format('{:,.2f}', o_totalprice) || ' USD within ' || CAST(o_orderkey % 30 AS VARCHAR) || ' days' AS body FROM orders)"
 )
 def amount_extract_text(spark, sf_dir):
@@ -143,7 +168,7 @@ def text_clean(spark, sf_dir):
 
 def _clean_name(c: str) -> str:
     s = _squeeze(c)
-    cases = " ".join(f"WHEN starts_with(lower({s}), '{p}') THEN {_strip(f'substr({s}, {len(p) + 1})')}" for p in text.NAME_PREFIXES)
+    cases = " ".join(f"WHEN starts_with(lower({s}), '{p}') THEN {_strip(f'substr({s}, {len(p) + 1})')}" for p in _NAME_LEADS)
     n = f"(CASE {cases} ELSE {s} END)"
     title = f"array_to_string(list_transform(regexp_extract_all({n}, '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda x: upper(x[1]) || lower(x[2:])), '')"
     return f"CASE WHEN {n} = upper({n}) AND {n} <> lower({n}) AND length({n}) > 5 THEN {title} ELSE {n} END"
@@ -176,22 +201,47 @@ def postprocess_headers(spark, sf_dir):
     return postprocess.postprocess(fx.raw_headers(spark, sf_dir)).select("k", *FIELDS, F.size("warnings").alias("n_warnings"))
 
 
+@_query(f"WITH {_DATED} SELECT k, iso IS NOT NULL AS date_ok, coalesce(CAST({_amount('total_amount')} AS DOUBLE) >= 0, FALSE) AS amount_ok, CAST({_amount('total_amount')} AS DOUBLE) AS value, payment_due_date > '1996-06-01' AS future, payment_due_date < '1996-06-01' AS past FROM dated")
+def predicates(spark, sf_dir):
+    then = F.lit("1996-06-01").cast("timestamp")
+    return fx.raw_headers(spark, sf_dir).select("k", dates.is_valid_date("invoice_date").alias("date_ok"), amounts.is_valid_amount("total_amount").alias("amount_ok"), amounts.amount_value("total_amount").alias("value"), dates.is_future("payment_due_date", then).alias("future"), dates.is_past("payment_due_date", then).alias("past"))
+
+
+@_query("SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+def date_fuzzy(spark, sf_dir):
+    """Dates among words that no format and no pattern fits, as the fuzzy parser reads them."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 3 == 0, F.concat(F.date_format("o_orderdate", "d. MMMM"), F.lit(" of "), F.date_format("o_orderdate", "yyyy"))).when(k % 3 == 1, F.concat(F.lit("shipped "), F.date_format("o_orderdate", "EEEE, MMMM d, yyyy"))).otherwise(F.date_format("o_orderdate", "yyyy MMMM dd"))
+    df = table(spark, sf_dir, "orders").select(k.alias("k"), said.alias("said"))
+    return dates.with_normalized_date(df, "said", "iso", dt.date(2000, 1, 1)).select("k", "iso")
+
+
+@_query(f"{_POST}, both_ AS (SELECT {', '.join(f'CAST(p.{f} IS DISTINCT FROM r.{f} AS INTEGER) AS {f}' for f in FIELDS)} FROM post p JOIN raw_headers r ON p.k = r.k) SELECT {', '.join(f'CAST(sum({f}) AS BIGINT) AS changed_{f}' for f in FIELDS)} FROM both_")
+def change_summary(spark, sf_dir):
+    raw = fx.raw_headers(spark, sf_dir)
+    return postprocess.summary(raw, postprocess.postprocess(raw), "k")
+
+
 # --- extraction ----------------------------------------------------------------------------------------------------
 
 _BODY = "'Invoice Number: ' || invoice_number || chr(10) || 'Dated: ' || coalesce(strftime(CAST(payment_due_date AS DATE), '%m/%d/%Y'), '') || chr(10) || 'Bill To: ' || coalesce(customer_name, '') || chr(10) || 'Due Date: ' || strftime(CAST(payment_due_date AS DATE), '%d-%m-%Y') || chr(10) || 'Total: ' || coalesce(total_amount, '')"
 
 
 def _fallback(field: str) -> str:
-    found = ", ".join(f"nullif(trim(regexp_extract(body, '(?i){p}', 1)), '')" for p in extract.FALLBACK[field])
+    found = ", ".join(f"nullif(trim(regexp_extract(body, '(?i){p}', 1)), '')" for p in _FALLBACK[field])
     return f"coalesce({found}) AS {field}"
 
 
-@_query(f"{_HEADERS}, bodies AS (SELECT id AS k, {_BODY} AS body FROM headers) SELECT k, {', '.join(_fallback(f) for f in extract.FALLBACK)} FROM bodies")
+@_query(f"{_HEADERS}, bodies AS (SELECT id AS k, {_BODY} AS body FROM headers) SELECT k, {', '.join(_fallback(f) for f in _FALLBACK)} FROM bodies")
 def regex_fallback_fields(spark, sf_dir):
+    return _bodies(spark, sf_dir).select("k", *[extract.regex_field(f, "body").alias(f) for f in extract.FALLBACK])
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = fx.headers(spark, sf_dir)
     due = lambda p: F.date_format(F.col("payment_due_date").cast("date"), p)
     body = F.concat(F.lit("Invoice Number: "), F.col("invoice_number"), F.lit("\nDated: "), due("MM/dd/yyyy"), F.lit("\nBill To: "), F.col("customer_name"), F.lit("\nDue Date: "), due("dd-MM-yyyy"), F.lit("\nTotal: "), F.col("total_amount"))
-    return h.select(F.col("id").alias("k"), body.alias("body")).select("k", *[extract.regex_field(f, "body").alias(f) for f in extract.FALLBACK])
+    return h.select(F.col("id").alias("k"), body.alias("body"), *FIELDS)
 
 
 def _filled(f: str) -> str:
@@ -226,11 +276,35 @@ def flat_records(spark, sf_dir):
     return df.select(*FIELDS, F.round("extraction_rate", 6).alias("extraction_rate"), *[f"{f}_confidence" for f in FIELDS])
 
 
-@_query()
+@_query(f"{_HEADERS} SELECT id, {', '.join(FIELDS)}, 'f.pdf' AS source_file, len(list_filter([{', '.join(f'{f}_confidence' for f in FIELDS)}], lambda x: x > 0)) AS n_scores, invoice_number_confidence AS score, TRUE AS success, 0 AS n_errors, '' AS model_name FROM headers")
 def header_json(spark, sf_dir):
-    """The extraction as JSON and back."""
+    """The extraction as JSON and back; what is not in it gets its default."""
     df = fx.headers(spark, sf_dir).withColumn("confidence_scores", _scores()).withColumn("source_file", F.lit("f.pdf"))
-    return df.select("id", extract.to_json().alias("json")).select("id", "json", extract.from_json("json").total_amount.alias("total_amount"))
+    back = df.select("id", extract.to_json().alias("json")).select("id", extract.from_json("json").alias("x"))
+    return back.select("id", *[f"x.{f}" for f in FIELDS], "x.source_file", F.size("x.confidence_scores").cast("long").alias("n_scores"), F.coalesce(F.col("x.confidence_scores")["invoice_number"], F.lit(0.0)).alias("score"), "x.success", F.size("x.errors").alias("n_errors"), "x.model_name")
+
+
+@_query(
+    f"{_HEADERS}, bodies AS (SELECT id AS k, {_BODY} AS body, CASE WHEN id % 2 = 0 THEN invoice_number END AS n, CASE WHEN id % 3 = 0 THEN total_amount ELSE '' END AS a FROM headers), found AS (SELECT k, n, a, {', '.join(_fallback(f) for f in _FALLBACK)} FROM bodies) "
+    "SELECT k, CASE WHEN coalesce(n, '') = '' THEN coalesce(invoice_number, n) ELSE n END AS invoice_number, CASE WHEN a = '' THEN coalesce(total_amount, a) ELSE a END AS total_amount, invoice_date, payment_due_date, "
+    "CAST((coalesce(n, '') = '' AND invoice_number IS NOT NULL)::INTEGER + (a = '' AND total_amount IS NOT NULL)::INTEGER + (invoice_date IS NOT NULL)::INTEGER + (payment_due_date IS NOT NULL)::INTEGER AS INTEGER) AS n_warnings, "
+    "CASE WHEN coalesce(n, '') = '' AND invoice_number IS NOT NULL THEN 0.3::DOUBLE ELSE 0.9::DOUBLE END AS score FROM found"
+)
+def fallback_rows(spark, sf_dir):
+    """Patterns fill what the model left empty, with their own confidence and a warning."""
+    none = F.lit(None).cast("string")
+    k = F.col("k")
+    bodies = _bodies(spark, sf_dir).select("k", "body", F.when(k % 2 == 0, F.col("invoice_number")).alias("invoice_number"), none.alias("invoice_date"), F.when(k % 3 == 0, F.col("total_amount")).otherwise("").alias("total_amount"), none.alias("payment_due_date"), F.create_map(F.lit("invoice_number"), F.lit(0.9)).alias("confidence_scores"), F.lit(None).cast("array<string>").alias("warnings"))
+    return extract.with_fallback(bodies, "body").select("k", "invoice_number", "total_amount", "invoice_date", "payment_due_date", F.size("warnings").alias("n_warnings"), F.col("confidence_scores")["invoice_number"].alias("score"))
+
+
+@_query(f"{_HEADERS} SELECT id, nullif(vendor_name, '') AS vendor_name, nullif(customer_name, '') AS customer_name, CASE WHEN vendor_name_confidence > 0 THEN vendor_name_confidence ELSE 0.0 END AS vendor_score, CAST(4 + (customer_name = '')::INTEGER AS INTEGER) AS n_warnings FROM headers")
+def answers_to_fields(spark, sf_dir):
+    """Answers of a model, cleaned, with positive scores and a warning for each that is missing."""
+    asked = lambda f: F.struct(F.lit("?").alias("question"), F.concat(F.lit(" :- "), F.col(f), F.lit(" .,")).alias("answer"), F.col(f"{f}_confidence").alias("confidence"))
+    df = fx.headers(spark, sf_dir).select("id", F.create_map(F.lit("vendor_name"), asked("vendor_name"), F.lit("customer_name"), asked("customer_name")).alias("answers"))
+    out = extract.from_answers(df)
+    return out.select("id", "vendor_name", "customer_name", extract.confidence_of("vendor_name").alias("vendor_score"), F.size("warnings").alias("n_warnings"))
 
 
 # --- validation ----------------------------------------------------------------------------------------------------
@@ -405,6 +479,35 @@ def store_ids(spark, sf_dir):
     return store.with_ids(fx.arrivals(spark, sf_dir).select(*ARRIVAL_ORDER), ARRIVAL_ORDER).select(*ARRIVAL_ORDER, "id")
 
 
+@_query(f"{_with(fx.ARRIVALS, _MARKED)} SELECT {_ORDER}, CAST(id - 1 AS BIGINT) AS id, padded FROM (SELECT {_ORDER}, row_number() OVER (ORDER BY {_ORDER}) AS id, repeat(invoice_number || '/' || vendor_name, 20) AS padded FROM arrivals)")
+def store_ids_wide(spark, sf_dir):
+    rows = fx.arrivals(spark, sf_dir).withColumn("padded", F.repeat(F.concat("invoice_number", F.lit("/"), "vendor_name"), 20))
+    return store.with_ids(rows.select(*ARRIVAL_ORDER, "padded"), ARRIVAL_ORDER, start=-1)
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS until, event_type, count(*) AS n FROM events GROUP BY ALL")
+def arrival_counts(spark, sf_dir):
+    return ingest.arrival_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").withColumnRenamed("end", "until").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "until")})
+
+
+@_query(f"{_HEADERS} SELECT " + ", ".join(f"coalesce({f}, '') AS {f}" for f in FIELDS) + f", id AS k, {', '.join(f"format('{{:.2f}}', CASE WHEN {f}_confidence > 0 THEN {f}_confidence ELSE 0.0 END) AS {f}_conf" for f in FIELDS)}, format('{{:.1f}}', ({_N_FILLED}) / 6.0 * 100) AS rate, CASE WHEN success = 1 THEN 'TRUE' ELSE '' END AS success FROM headers")
+def workbook_sheets(spark, sf_dir):
+    """The cells of the three sheets, side by side."""
+    df = fx.headers(spark, sf_dir).withColumns({"confidence_scores": _scores(), "source_file": F.col("id").cast("string"), "success": F.col("success") == 1, "processing_time": F.lit(0.0), "extraction_timestamp": F.lit(""), "model_name": F.lit("")})
+    number = F.col("Source File").cast("long").alias("k")
+    data = workbook.data_sheet(df.withColumn("invoice_number", F.concat_ws("|", "invoice_number", "source_file")))
+    data = data.select(F.substring_index("Invoice Number", "|", -1).cast("long").alias("k"), F.substring_index("Invoice Number", "|", 1).alias("invoice_number"), *[F.col(h).alias(f) for h, f in workbook.COLUMNS[1:]])
+    conf = workbook.confidence_sheet(df).select(number, *[F.col(f"`{h} Conf.`").alias(f"{f}_conf") for h, f in workbook.COLUMNS])
+    meta = workbook.metadata_sheet(df).select(number, F.col("Extraction Rate (%)").alias("rate"), F.col("Success").alias("success"))
+    return data.join(conf, "k").join(meta, "k")
+
+
+@_query(f"{_HEADERS} SELECT {', '.join(f"least(greatest(max(length({f})), {len(h)}) + 2, 50) AS {f}" for h, f in (('Invoice Number', 'invoice_number'), ('Invoice Date', 'invoice_date'), ('Vendor Name', 'vendor_name'), ('Customer Name', 'customer_name'), ('Total Amount', 'total_amount'), ('Payment Due Date', 'payment_due_date')))} FROM headers")
+def workbook_widths(spark, sf_dir):
+    made = workbook.widths(workbook.data_sheet(fx.headers(spark, sf_dir)))
+    return made.select(*[F.col(h).cast("long").alias(f) for h, f in workbook.COLUMNS])
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 _BASE = r"regexp_extract(source_file, '[^/]*$', 0)"
@@ -451,6 +554,35 @@ def eval_compare(spark, sf_dir):
     return evaluate.compared(_pairs(spark, sf_dir), ["idx"])
 
 
+@_query(f"{_with(fx.RAW_HEADERS, fx.HEADERS, fx.TRUTH)} SELECT source_file, {', '.join(FIELDS)} FROM truth")
+def gt_json_layouts(spark, sf_dir):
+    """Records from JSON of four layouts."""
+    t = fx.truth(spark, sf_dir)
+    fields = F.struct(*FIELDS)
+    whole = F.struct("source_file", *FIELDS)
+    forms = [F.to_json(F.array(whole)), F.to_json(F.struct(F.array(whole).alias("records"))), F.to_json(F.struct(F.array(F.struct(F.col("source_file").alias("filename"), fields.alias("fields"))).alias("invoices"))), F.to_json(F.create_map("source_file", fields))]
+    text = F.coalesce(*[F.when(F.col("idx") % 4 == i, f) for i, f in enumerate(forms)])
+    return ground_truth.parse_json(t.select(text.alias("value"))).drop("idx")
+
+
+@_query(f"{_with(fx.RAW_HEADERS, fx.HEADERS, fx.TRUTH)} SELECT idx, source_file, vendor_name FROM truth WHERE idx = 7")
+def gt_by_index(spark, sf_dir):
+    return evaluate.by_index(fx.truth(spark, sf_dir), 7).select("idx", "source_file", "vendor_name")
+
+
+@_query(f"{_HEADERS} SELECT p.id AS idx, p.vendor_name, t.customer_name AS gt_customer_name FROM headers p JOIN headers t ON p.id = t.id")
+def eval_zipped(spark, sf_dir):
+    h = fx.headers(spark, sf_dir).withColumnRenamed("id", "idx")
+    return evaluate.zipped(h, h).select("idx", "vendor_name", "gt_customer_name")
+
+
+@_query(f"{_COMPARED} SELECT idx AS sample_index, field, predicted, truth AS ground_truth, exact AS exact_match, partial AS partial_match, confidence, extracted FROM compared")
+def eval_detailed(spark, sf_dir):
+    """The detailed results, one row a field again."""
+    found = reports.detailed(_pairs(spark, sf_dir))
+    return found.select("sample_index", F.explode("comparison").alias("field", "c")).select("sample_index", "field", "c.*")
+
+
 @_query(f"{_COMPARED} SELECT idx, round(similarity, 9) AS similarity FROM compared WHERE field = 'vendor_name'")
 def eval_similarity(spark, sf_dir):
     p, t = (compare.comparable("vendor_name", c) for c in ("vendor_name", "gt_vendor_name"))
@@ -516,6 +648,20 @@ def ocr_page_text(spark, sf_dir):
     return layout.page_text(_words(spark, sf_dir)).withColumn("average_confidence", F.round("average_confidence", 6))
 
 
+@_query(f"{_with(fx.WORDS)} SELECT page_id, string_agg(text, '|' ORDER BY word_index) AS words, count(*) AS n_words, count(DISTINCT line_index) AS n_lines, min(x1) AS x1, max(y2) AS y2 FROM words GROUP BY page_id")
+def page_json(spark, sf_dir):
+    """Pages as JSON and back."""
+    box = "struct<x1:int,y1:int,x2:int,y2:int>"
+    kind = f"struct<text:string,word_count:bigint,line_count:bigint,words:array<struct<word_index:int,text:string,bbox:{box}>>,lines:array<struct<line_index:int,text:string,bbox:{box}>>>"
+    back = layout.serialised(_words(spark, sf_dir)).select("page_id", F.from_json("json", kind).alias("p"))
+    return back.select("page_id", F.array_join("p.words.text", "|").alias("words"), F.col("p.word_count").alias("n_words"), F.size("p.lines").cast("long").alias("n_lines"), F.array_min("p.words.bbox.x1").alias("x1"), F.array_max("p.lines.bbox.y2").alias("y2"))
+
+
+@_query(f"{_with(fx.WORDS)} SELECT page_id, CAST(count(*) AS INTEGER) AS n_words, FALSE AS is_empty FROM words GROUP BY page_id")
+def page_nested(spark, sf_dir):
+    return layout.nested(_words(spark, sf_dir)).select("page_id", F.size("words").alias("n_words"), "is_empty")
+
+
 def _norm_box(c: str, size: int) -> str:
     return f"CAST(greatest(0, least(1000, trunc({c} * 1000 / {size}))) AS INTEGER) AS n{c}"
 
@@ -580,7 +726,7 @@ def filename_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.safe_filename(_names()).alias("name"))
 
 
-_LADDER = " ".join(f"WHEN n < {1024 ** (i + 1)} THEN format('{{:.1f}} {u}', n / {1024.0 ** i})" for i, u in enumerate(files.UNITS[:-1]))
+_LADDER = " ".join(f"WHEN n < {1024 ** (i + 1)} THEN format('{{:.1f}} {u}', n / {1024.0 ** i})" for i, u in enumerate(_SIZES))
 
 
 @_query(f"SELECT k, CASE {_LADDER} ELSE format('{{:.1f}} PB', n / {1024.0 ** 5}) END AS size FROM (SELECT p_partkey AS k, CAST((p_partkey * 1024 + 256) * CAST(pow(1024, p_partkey % 5) AS BIGINT) AS DOUBLE) AS n FROM part)")
@@ -588,3 +734,16 @@ def file_size_format(spark, sf_dir):
     k = F.col("p_partkey")
     n = (k * 1024 + 256) * F.pow(F.lit(1024), k % 5).cast("long")
     return table(spark, sf_dir, "part").select(k.alias("k"), files.format_size(n).alias("size"))
+
+
+@_query("SELECT o_orderkey AS k, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp FROM orders")
+def timestamp_text(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), files.timestamp_text(F.col("o_orderdate").cast("timestamp")).alias("stamp"))
+
+
+@_query("SELECT c_custkey AS k, 'a' AS a, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'b' END AS b, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS c FROM customer")
+def settings_merge(spark, sf_dir):
+    k = F.col("c_custkey")
+    base = F.create_map(F.lit("a"), F.lit("a"), F.lit("b"), F.lit("b"))
+    merged = maps.merge_maps(base, F.create_map(F.when(k % 2 == 0, "b").otherwise("c"), F.col("c_name")))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), merged.alias("m")).select("k", *[F.try_element_at("m", F.lit(x)).alias(x) for x in "abc"])

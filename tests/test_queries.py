@@ -41,8 +41,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1500
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-def test_json_query(spark):
-    r = q.queries()["header_json"](spark, DATA).first()
-    assert '"source_file":"f.pdf"' in r.json
