@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same for tables with texts: as compressed Parquet in the shared folder, of which later steps read the columns they need."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    at = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 #: Keys that are joined by broadcast at most, 3 MB of them, and rows of a key that never need it.
 HEAVY_KEYS = 100_000
 LIGHT_ROWS = 1000

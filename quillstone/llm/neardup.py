@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import join_heavy, map_arrow, materialise
+from quillstone.llm.common import join_heavy, map_arrow, materialise, stored
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -458,7 +458,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # a document has at most TREES * NEIGHBOURS * 2 partners, so these lists are short
     first = materialise(pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b"))
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("node")).distinct()
-    texts = materialise(texts.join(involved, "doc_id", "left_semi"))
+    texts = stored(texts.join(involved, "doc_id", "left_semi"))
     roots = components(confirmed(first, texts, size))
 
     def with_links(more: DataFrame) -> DataFrame:
