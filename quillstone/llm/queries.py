@@ -67,14 +67,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").cast("long").alias("n_offending"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_language, op3_mix, op4_secrets, op5_neardup, op6_tokens, op7_urls, op8_decontaminate, op9_rules, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_language, op3_mix, op4_secrets, op5_neardup, op6_tokens, op7_urls, op8_decontaminate, op9_rules, op10_toxicity)}
 
 
 _OP7 = r"""
