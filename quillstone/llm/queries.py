@@ -26,8 +26,19 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[1].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def secret_model(spark: SparkSession, vocabulary_path: str | None = None) -> secrets.Model:
+    """The forest with the words of a public vocabulary, or with the built-in ones where there is no such file."""
+    if vocabulary_path is None:
+        try:
+            import public_tokenizers
+        except ModuleNotFoundError:
+            return secrets.train(spark)
+        vocabulary_path = public_tokenizers.path("word_bpe_49k.json")
+    return secrets.train(spark, dictionary=secrets.vocabulary_words(vocabulary_path))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark))
+    found = secrets.scan(table(spark, sf_dir, "documents"), secret_model(spark))
     kept = secrets.secrets_of()
     return found.select(
         "doc_id",

@@ -89,3 +89,51 @@ def kneser_ney(counts, order, discount, limits):
         return max(own - d[o, k], 0) / sum(beside) + d[o, k] * len(beside) / sum(beside) * lower
 
     return p, langs
+
+
+def secret_candidates(text, path, m):
+    """(token, features) of all candidates of a text, in order; ``m`` holds the constants."""
+    import regex
+
+    candidate, assigned = regex.compile(m.CANDIDATE), regex.compile(m.ASSIGNED)
+    out = []
+    tokens = [regex.sub(r"^[.@]+|[.@]+$", "", t) for t in regex.split(m.APART.replace("\\x{10FFFF}", "\U0010ffff"), text)]
+    for i, t in enumerate(tokens):
+        for found in candidate.finditer(t):
+            own = regex.search(m.LAST, t[: t.find(found[0])])
+            b = own[1] if own else tokens[i - 1] if i else ""
+            bb = tokens[i - 1 if own else i - 2] if i >= (1 if own else 2) else ""
+            out.append((found[0], b, bb, tokens[i + 1] if i + 1 < len(tokens) else "", False))
+    out += [(f[3], f[1], "", "", True) for f in assigned.finditer(text) if not candidate.search(f[3])]
+    return [(o[0], _secret_features(*o, path, m)) for o in out]
+
+
+def _secret_features(t, b, bb, a, assigned, path, m):
+    n = max(len(t), 1)
+    share = lambda ok: sum(map(ok, t)) / n
+    kinds = ["l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else "" for c in t]
+    says = lambda words: any(re.search(rf"(^|[_\-.])({'|'.join(words)})$", x.lower()) for x in (b, bb))
+    low, covered, i = t.lower(), 0, 0
+    while i < len(low):
+        k = max((len(w) for w in m.WORDS if low.startswith(w, i)), default=0)
+        covered, i = covered + k, i + max(k, 1)
+    key = lambda c: c.isascii() and (c.isalnum() or c in "_+/-")
+    return [
+        float(n),
+        share(lambda c: "0" <= c <= "9"),
+        share(lambda c: "A" <= c <= "Z"),
+        sum(x != y and x != "" and y != "" for x, y in zip(kinds, kinds[1:])) / n,
+        sum(low[i : i + 2] in m.PAIRS for i in range(len(low))) / n,
+        len(set(t)) / n,
+        covered / n,
+        float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", t))),
+        float(bool(re.fullmatch(r"[0-9+\-]+", t))),
+        share(lambda c: c == "/"),
+        share(lambda c: c == "-"),
+        float(says(m.ANNOUNCES)),
+        float(says(m.DENIES) or a.lower() in m.DENIES),
+        float(bool(re.search("test|example|sample|fixture|docs?/", (path or "").lower()))),
+        float(t.startswith(m.PREFIXES)),
+        1 - share(key),
+        float(assigned),
+    ]
