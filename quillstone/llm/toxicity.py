@@ -8,13 +8,18 @@ descent on the documents' likelihood, and the sentence probabilities then say
 where the offending sentences are.  Steps are in proportion to the gradient,
 so that words seen once can't explain the documents that hold them.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` labelled documents
-of each class, the first by a hash of their ids.  Scores cover every document.
+The model is fitted on a bounded sample of labelled rows: at most ``SAMPLE``
+documents of each class, the first by a hash of their ids, and of those as many
+whole texts as ``SAMPLE_BYTES`` hold, one at least.  Scores cover every document.
 
 Edge cases: null text counts as empty; a text without words scores the
-probability of no toxic sentence, 0; null labels are ignored; repeated labels
-count once each; a null id is scored, never trained on; without both classes
-in the sample every score is 0; an empty table gives no rows.
+probability of no toxic sentence, 0; very long texts are scored whole, one at a
+time in memory; null labels are ignored; a label that repeats an id counts
+again, as does a document that repeats one; ids whose hashes tie are taken by
+id; a score equal to the threshold counts as toxic; a null id is scored, never
+trained on; without both classes in the sample every score is 0; an empty table
+gives no rows.  Only ``doc_id``, ``text`` and the label are read, whatever other
+columns there are and however they are named.
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import held_out, map_arrow
+from quillstone.llm.common import held_out, map_arrow, stored
 
 SAMPLE = 1500
+SAMPLE_BYTES = 8 << 20
 WEIGHTS = 1 << 20
 STEPS = 200
 RATE = 0.3
@@ -97,11 +103,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = STEPS, ra
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """At most ``sample`` documents of each class as hashed sentences; their ids are the only rows broadcast."""
+    """At most ``sample`` documents of each class, of SAMPLE_BYTES at most, as hashed sentences; their ids are the only rows broadcast."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null and doc_id is not null").where(~held_out("doc_id", 5, 0))
     chosen = None
     for side in ("y > 0.5", "y <= 0.5"):
-        part = marked.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = marked.where(side).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +122,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 yield pa.record_batch([K.binary_column(a), K.binary_column(b), batch.column(1).slice(part.first, len(part))], names=["w", "s", "y"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = map_arrow(texts.join(F.broadcast(chosen), "doc_id").select("text", "y"), run, "w binary, s binary, y double").collect()
+    found = stored(texts.join(F.broadcast(chosen), "doc_id"))
+    # over ids and lengths of the sample alone; a document that repeats an id stands or falls with its id
+    order = Window.partitionBy(F.col("y") > 0.5).orderBy(F.xxhash64("doc_id"), "doc_id")
+    sizes = found.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count("*").alias("rows"))
+    fit = sizes.withColumn("before", F.sum("n").over(order) - F.col("n")).where((F.col("before") + F.col("n") <= SAMPLE_BYTES) | (F.col("before") == 0)).select("doc_id", "y")
+    rows = map_arrow(found.join(F.broadcast(fit), ["doc_id", "y"]).select("text", "y"), run, "w binary, s binary, y double").collect()
     return [(np.frombuffer(r.w, np.int32), np.frombuffer(r.s, np.int32), r.y) for r in rows if len(r.w)]
 
 
