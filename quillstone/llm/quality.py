@@ -8,10 +8,11 @@ features, whatever the corpus.  Scores are binned and calibrated by isotonic
 regression on the bins.  All labelled training rows are used, none sampled.
 
 Edge cases: null text counts as empty; an empty text is scored like any other;
-labels of null are no labels; repeated rows and labels each count; a document
-with a null id can't have a label but is scored; without any label every score
-is 0.5; an empty table gives no rows.  Columns other than id and text are
-ignored, whatever their names.
+very long texts are whole, one such text at a time in memory; equal scores share
+a bin, and a score equal to the threshold is predicted good; labels of null are
+no labels; repeated rows and labels each count; a document with a null id can't
+have a label but is scored; without any label every score is 0.5; an empty table
+gives no rows.  Columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -158,7 +159,8 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", thr
     """doc_id, held_out, score, predicted, raw (the ridge score before calibration) for every document."""
     stats = materialise(document_statistics(docs))
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null")
-    train = stats.where(~held_out("doc_id", 4, 2)).join(marked, "doc_id").select("x", "y")
+    # statistics, means, equations and bins read it again
+    train = materialise(stats.where(~held_out("doc_id", 4, 2)).join(marked, "doc_id").select("x", "y"))
     width = len(STATISTICS)
     row = train.agg(F.count("y"), *[f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(width)]).first()
     if not row[0]:
