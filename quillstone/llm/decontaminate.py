@@ -13,11 +13,14 @@ of the next rarest term, and so on.  With ``slop`` 0 these are exact phrases;
 with more, each term may stand that many words from its place (proximity).
 Terms are 64-bit hashes of words.
 
-Edge cases: null or empty texts have no words, no hits and no items; a test
-item without words is no phrase; items that share a phrase are all named; an
-item with a null id marks words as hit but is never named; repeated documents
-are judged one by one; a null document id is kept as it is.  An empty document
-table gives no rows, an empty test table gives rows without hits.
+Edge cases: null or empty texts have no words, no hits and no items; very long
+texts are indexed whole, as a shard of their own; a test item without words is
+no phrase; items that share a phrase are all named; an item with a null id marks
+words as hit but is never named; an id that several items have is named once;
+repeated documents are judged one by one; a null document id is kept as it is;
+terms that are equally rare are looked up in their order.  An empty document
+table gives no rows, an empty test table gives rows without hits.  Only the ids
+and texts are read, whatever other columns there are and however they are named.
 """
 
 from __future__ import annotations

@@ -14,10 +14,13 @@ Prefix sums run in two steps, within (source, bucket) and over the buckets, so
 no source's rows meet in one task.  All draws are hashes of stable values and a
 seed, so reruns agree.
 
-Edge cases: null text has size 0; a document without words is never taken; a
-null source is a source of its own and comes last; repeated rows and ids are
-packed one after the other like others, rows of equal id and size being
-interchangeable; a null id sorts first; an empty table gives no rows.
+Edge cases: null text has size 0; a document without words is never taken; very
+long texts span many blocks; a null source is a source of its own and comes
+last; sources that are full at the same level are taken in order of their names;
+repeated rows and ids are packed one after the other like others, rows of equal
+id and size being interchangeable; a null id sorts first; an empty table gives
+no rows.  Only ``doc_id``, ``text`` and ``source`` are read, whatever other columns
+there are and however they are named.
 """
 
 from __future__ import annotations

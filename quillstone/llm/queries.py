@@ -66,7 +66,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +119,30 @@ FROM n LEFT JOIN low ON low.a = n.doc_id
 """
 
 
+_WORDS = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'"
+_OP8 = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array({_WORDS}), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array({_WORDS}), lambda x: x <> '') AS ws FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS p
+  FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)
+), places AS (
+  SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM phrases)
+), hit AS (
+  SELECT r, i, n, item FROM (SELECT r, i, n, array_to_string(ws[i:i + n - 1], ' ') AS p FROM places) SEMI JOIN phrases USING (n, p) JOIN phrases USING (n, p)
+), words AS (
+  SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS w FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL expresses on whole tables; the others are tested against brute force."""
-    return {"op5_neardup": _OP5, "op7_urls": _OP7}
+    return {"op5_neardup": _OP5, "op7_urls": _OP7, "op8_decontaminate": _OP8}

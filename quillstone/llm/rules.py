@@ -13,8 +13,11 @@ Repeated three-word windows are found through their 64-bit hashes, within one
 document at a time.
 
 Edge cases: null text has no words, counts of 0 and fails the base rules, as
-does an empty one; repeated rows are judged each; null ids are kept; an empty
-table gives no rows.
+does an empty one; very long texts are counted whole; repeated rows are judged
+each; documents with equal votes have equal posteriors, and one equal to the
+threshold is kept; null ids are kept; an empty table gives no rows.  Only
+``doc_id`` and ``text`` are read, whatever other columns there are and however
+they are named.
 """
 
 from __future__ import annotations

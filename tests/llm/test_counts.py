@@ -1,6 +1,8 @@
 """Operators with exact contracts: tokens, URLs, rule counts and mixing."""
 
+import math
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -120,6 +122,64 @@ def test_rule_counts(spark, documents, odd):
     assert rules.judge(odd.limit(0)).count() == 0
 
 
+def votes(text):
+    """The ten votes of a text, by definition."""
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup, n_repeat = counts(text)
+    lines = sum(bool(BLANK_WORD.search(x)) for x in text.split("\n"))
+    capitals, shouts, stops = (sum(c in chars for c in text) for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!", ".?"))
+    letters = sum(unicodedata.category(c)[0] == "L" for c in text)
+    marked = sum(any(c in "#*$%&|<>" for c in w) for w in BLANK_WORD.findall(text))
+    chars, words = max(word_chars, 1), max(n_words, 1)
+    low = lambda x, good, bad: -1 if x > bad else int(x <= good)
+    vote = lambda bad, good: -1 if bad else int(good)
+    size = word_chars / words
+    return (
+        vote(n_words < 50, n_words >= 80),
+        low(n_symbols / chars, 0.005, 0.03),
+        low(marked / words, 0.02, 0.15),
+        vote(letters * 100 < 80 * word_chars, letters * 100 >= 90 * word_chars),
+        low(n_dup / max(lines, 1), 0.0, 0.2),
+        low(n_repeat / words, 0.1, 0.3),
+        low(capitals / chars, 0.1, 0.3),
+        low(shouts / chars, 0.002, 0.02),
+        vote(size < 2.5 or size > 16, 3 <= size <= 12),
+        vote(stops * 100 < words, stops * 50 >= words and stops * 2 <= words),
+    )
+
+
+def test_posterior_by_definition(spark, documents, odd):
+    """Expectation-maximisation over single documents in plain Python gives every document's posterior and verdict."""
+    for df in (documents, odd):
+        rows = [(r.doc_id, r.text or "", votes(r.text)) for r in df.select("doc_id", "text").collect()]
+        good = [0.3 if -1 in v else 0.95 for _, _, v in rows]
+        for _ in range(rules.ITERATIONS):
+            share = sum(good) / len(rows)
+            prior = min(max(share, rules.PRIOR[0]), rules.PRIOR[1])
+            weigh = []
+            for j in range(10):
+                odds = {0: 0.0}
+                for v, bound in ((-1, min), (1, max)):
+                    p = []
+                    for side in (good, [1 - g for g in good]):
+                        cast = sum(g for g, r in zip(side, rows) if r[2][j])
+                        p.append((sum(g for g, r in zip(side, rows) if r[2][j] == v) + rules.SMOOTH * len(rows) / 2) / (cast + rules.SMOOTH * len(rows)))
+                    odds[v] = bound(math.log(p[0] / p[1]), 0.0)
+                weigh.append(odds)
+            z = [math.log(prior / (1 - prior)) + sum(o[v] for o, v in zip(weigh, r[2])) for r in rows]
+            good = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in z]
+        want, got = defaultdict(list), defaultdict(list)
+        for (d, t, _), g in zip(rows, good):
+            n_words, _, _, _, n_repeat = counts(t)
+            want[d].append((g, n_words >= 50 and 100 * n_repeat <= 50 * n_words and g >= 0.5))
+        for r in rules.judge(df).collect():
+            got[r.doc_id].append((r.posterior, r.kept))
+        assert got.keys() == want.keys()
+        for d in want:
+            assert [k for _, k in sorted(got[d])] == [k for _, k in sorted(want[d])]
+            assert sorted(p for p, _ in got[d]) == pytest.approx(sorted(p for p, _ in want[d]), abs=1e-6)
+
+
 def test_rules_keep_good_documents_and_drop_junk(spark, documents, labels):
     kept = {r.doc_id: r.kept for r in rules.judge(documents).where("not base_failed").collect()}
     quality = {r.doc_id: r.quality for r in labels.collect()}

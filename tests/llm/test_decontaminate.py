@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from brute import contamination
@@ -34,6 +36,15 @@ def test_odd_rows(spark, odd, benchmark):
     assert all(not r.contaminated for r in D.decontaminate(odd, benchmark.limit(0)).collect())
 
 
+def test_items_without_an_id_and_repeated_items(spark):
+    """A null id marks words but is not named; an id that two texts share is named once."""
+    docs = spark.createDataFrame([(1, "a b c x d e"), (2, "d e z"), (3, "x y")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, "a b c"), (7, "d e"), (7, "z"), (7, "d e"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in D.decontaminate(docs, tests).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in (1, 2, 3)] == [(5, 1, True), (3, 1, True), (0, 0, False)]
+    assert got[1].items_sha256 == got[2].items_sha256 == hashlib.sha256(b"7").hexdigest()
+
+
 def test_blocks_of_tests_give_the_same(spark, documents, benchmark):
     index = D.build_index(documents)
     one = D.search(index, benchmark).select("doc_id", "n_words", "hits", "items").collect()

@@ -1,6 +1,8 @@
 """Operators with trained models: held-out accuracy and edge cases."""
 
 import math
+import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from brute import kneser_ney
 from pyspark.sql import functions as F
 
+from quillstone.llm import kernels as K
 from quillstone.llm import langid, quality, queries, secrets, toxicity
 
 BIG = "/root/testdata/sf0.1"
@@ -27,6 +30,30 @@ def test_quality_of_held_out_documents(big):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def test_quality_by_definition(spark, documents, labels):
+    """One matrix over all rows, solved at once, and isotonic means by their definition as least squares."""
+    got = {r.doc_id: r for r in quality.classify(documents, labels).collect()}
+    marked = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    x = {r.doc_id: np.array(r.x) for r in quality.document_statistics(documents).collect()}
+    train = [d for d in x if d in marked and zlib.crc32(str(d).encode()) % 4 != 2]
+    assert {d for d in got if got[d].held_out} == {d for d in x if zlib.crc32(str(d).encode()) % 4 == 2}
+    m, y = np.array([x[d] for d in train]), np.array([marked[d] for d in train])
+    f = quality.Fourier(m.mean(axis=0), m.std(axis=0))
+    z = f(m)
+    w = np.linalg.solve(z.T @ z + quality.RIDGE * np.diag([1.0] * quality.FEATURES + [1e-6]), z.T @ y)
+    raw = lambda d: float(np.clip(f(x[d][None]) @ w, -0.5, 1.5)[0])
+    assert all(abs(got[d].raw - raw(d)) < 1e-4 for d in x)
+    bins = sorted({round(raw(d) * quality.BINS) for d in train})
+    sums = {b: [y[i] for i, d in enumerate(train) if round(raw(d) * quality.BINS) == b] for b in bins}
+    # the max-min form of isotonic regression
+    mean = lambda i, j: np.mean([v for b in bins[i : j + 1] for v in sums[b]])
+    best = [max(min(mean(i, j) for j in range(k, len(bins))) for i in range(k + 1)) for k in range(len(bins))]
+    xs, ys = quality.isotonic(np.array(bins, float), np.array([float(len(sums[b])) for b in bins]), np.array([float(sum(sums[b])) for b in bins]))
+    for b, v in zip(bins, best, strict=True):
+        near = np.abs(xs - b).argmin()
+        assert ys.min() <= v <= ys.max() and np.isclose(ys, v, atol=1e-9).any(), (b, v, ys[near])
+
+
 def test_quality_edge_cases(spark, odd, labels):
     rows = quality.classify(odd, labels).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
@@ -68,6 +95,41 @@ def test_toxicity_edge_cases(spark, odd, labels):
     assert toxicity.score(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_sample_and_repeated_labels(spark, documents, labels, monkeypatch):
+    twice = labels.unionByName(labels.where("toxic = 1"))
+    rows = toxicity.training_sample(documents, twice)
+    known = documents.join(twice.where("toxic is not null"), "doc_id").where("crc32(cast(doc_id as string)) % 5 <> 0 and text rlike '[a-zA-Z0-9]'")
+    assert len(rows) == known.count() and sum(r[2] > 0.5 for r in rows) == known.where("toxic = 1").count()
+    assert toxicity.score(documents, twice).count() == documents.count()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    few = toxicity.training_sample(documents, labels)
+    assert {r[2] > 0.5 for r in few} == {True, False} and len(few) < len(rows)
+
+
+def test_toxicity_by_definition(spark):
+    """Scores of a trained model against sentences split, hashed and multiplied one at a time."""
+    texts = [(i, f"you are a {'grimble' if i % 2 else 'kind'} person {i % 7}. the weather is fine! word{i % 5} again") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    weights, bias = toxicity.fit(toxicity.training_sample(docs, marks))
+    got = {r.doc_id: r for r in toxicity.score(docs, marks).collect()}
+    for i, t in texts:
+        keep, worst = 1.0, 0.0
+        for sentence in re.split(r"[.!?\n]", t.lower()):
+            found = re.findall(r"[0-9a-z\x80-\xff]+", sentence)
+            if found:
+                z = bias
+                for w in found:
+                    raw = np.frombuffer(w.encode(), np.uint8)
+                    h, there = K.hash_prefixes(raw, np.array([0]), np.array([len(raw)]), toxicity.STEMS)
+                    z += sum(float(weights[int(v) >> 44]) for v in h[there])
+                keep *= 1 - 1 / (1 + math.exp(-z))
+                worst = max(worst, 1 / (1 + math.exp(-z)))
+        assert got[i].score == pytest.approx(1 - keep, abs=2e-6) and bool(got[i].sentences) == (worst >= 0.5)
+        assert (got[i].score >= 0.5) == bool(i % 2)
+        assert all("grimble" in x.text for x in got[i].sentences)
+
+
 def test_noisy_or():
     p, doc = toxicity.noisy_or(np.array([0.0, 2.0]), -1.0, np.array([0, 1, 1]), np.array([0, 1, 3]), np.array([0, 2, 2]))
     s = lambda z: 1 / (1 + math.exp(-z))

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from brute import components, contamination
 
-from quillstone.llm import langid, secrets
+from quillstone.llm import langid, queries, secrets
 
 
 def test_stages(spark, tmp_path, documents, benchmark):
@@ -21,12 +21,14 @@ def test_stages(spark, tmp_path, documents, benchmark):
     items = [(r.item_id, r.text) for r in benchmark.collect()]
     assert ids(frames["decontamination"]) == {r.doc_id for r in frames["near_dedup"].collect() if contamination(r.text, items)[1] == 0}
     texts = {r.doc_id: r.text for r in frames["decontamination"].collect()}
-    found = {r.doc_id: [f.token for f in r.findings if f.p >= 0.5] for r in secrets.scan(frames["decontamination"], secrets.train(spark)).collect()}
+    scanned = secrets.scan(frames["decontamination"], queries.secret_model(spark)).collect()
+    found = {r.doc_id: [f.token for f in r.findings if f.p >= 0.5] for r in scanned}
     for r in frames["secret_scan"].collect():
         want = texts[r.doc_id]
         for t in sorted(found[r.doc_id], key=len, reverse=True):
             want = want.replace(t, secrets.MASK)
         assert r.text == want
+    assert sum(map(len, found.values())) > 0
     assert ids(frames["mixture"]) == ids(frames["secret_scan"])
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, frames["mixture"].collect()))
