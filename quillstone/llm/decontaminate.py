@@ -41,8 +41,9 @@ from quillstone.llm.common import map_arrow, materialise
 GAP = 64
 WINDOW = 10
 SHARD_BYTES = 4 << 20
-#: Test text that is searched for in one pass over the index.
+#: Test text that is searched for together, and in one pass over the index, one such block after the other.
 BLOCK_BYTES = 4 << 20
+PASS_BLOCKS = 4
 #: Candidate positions that are looked at together.
 CANDIDATES = 2 << 20
 
@@ -95,47 +96,56 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @dataclass
 class Phrases:
-    """Distinct phrases: term hashes (padded with 0), lengths, and the items that each belongs to."""
+    """Distinct phrases as starts and lengths in a row of term hashes, and the items that each belongs to."""
 
-    terms: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
     owners: np.ndarray
     owner_offsets: np.ndarray
     items: list[str | None]
+    window: int
+
+    @property
+    def terms(self) -> np.ndarray:
+        """A row of hashes a phrase, padded with 0."""
+        return _terms(self.hashes, self.starts, self.lengths, self.window)
+
+
+def _terms(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    if not len(starts):
+        return np.zeros((0, window), K.U64)
+    place = np.arange(window)[None, :]
+    return np.where(place < lengths[:, None], hashes[np.minimum(starts[:, None] + place, len(hashes) - 1)], K.U64(0))
 
 
 def phrases(texts: list[str | None], items: list[str | None], window: int = WINDOW) -> Phrases:
     """All runs of ``window`` consecutive words of each text; a shorter text is one phrase."""
-    found: dict[bytes, list[int]] = {}
-    for k, text in enumerate(texts):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        hashes, _ = words(raw, np.array([0, len(raw)]))
-        if not len(hashes):
-            continue
-        size = min(window, len(hashes))
-        for i in range(len(hashes) - size + 1):
-            owners = found.setdefault(hashes[i : i + size].tobytes(), [])
-            if not owners or owners[-1] != k:
-                owners.append(k)
-    terms = np.zeros((len(found), window), K.U64)
-    lengths = np.zeros(len(found), np.int64)
-    for row, key in enumerate(found):
-        got = np.frombuffer(key, K.U64)
-        lengths[row] = len(got)
-        terms[row, : len(got)] = got
-    sizes = [len(x) for x in found.values()]
-    return Phrases(terms, lengths, np.array([x for xs in found.values() for x in xs], np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), items)
+    raw = [(t or "").encode() for t in texts]
+    hashes, by_row = words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]))
+    n = np.diff(by_row)
+    size = np.minimum(n, window)
+    count = np.where(n > 0, n - size + 1, 0)
+    row = np.repeat(np.arange(len(texts)), count)
+    starts = by_row[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    lengths = size[row]
+    if not len(row):
+        return Phrases(hashes, starts, lengths, row, np.zeros(1, np.int64), items, window)
+    _, first, which = np.unique(np.column_stack([lengths.astype(K.U64), _terms(hashes, starts, lengths, window)]), axis=0, return_index=True, return_inverse=True)
+    pairs = np.unique(which.ravel() * len(texts) + row)
+    return Phrases(hashes, starts[first].astype(np.int32), lengths[first], pairs % len(texts), np.searchsorted(pairs // len(texts), np.arange(len(first) + 1)), items, window)
 
 
 def intersect(query: Phrases, terms: np.ndarray, starts: np.ndarray, place: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, position of its first word) of all occurrences in one shard."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(terms) or not len(query.terms):
+    if not len(terms) or not len(query.starts):
         return none
-    width = query.terms.shape[1]
+    wanted, width = query.terms, query.window
     used = np.arange(width)[None, :] < query.lengths[:, None]
-    at = np.minimum(np.searchsorted(terms, query.terms), len(terms) - 1)
-    alive = np.flatnonzero(((terms[at] == query.terms) | ~used).all(axis=1))
+    at = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
+    alive = np.flatnonzero(((terms[at] == wanted) | ~used).all(axis=1))
+    del wanted
     if not len(alive):
         return none
     at, used, lengths = at[alive], used[alive], query.lengths[alive]
@@ -170,35 +180,34 @@ def intersect(query: Phrases, terms: np.ndarray, starts: np.ndarray, place: np.n
     return np.concatenate(found_phrase), np.concatenate(found_at)
 
 
-def _named(query: Phrases, phrase: np.ndarray, row: np.ndarray, rows: int) -> list[list[str]]:
-    """The distinct items of the phrases found in each row."""
+def _named(query: Phrases, phrase: np.ndarray, row: np.ndarray, out: list[set[str]]) -> None:
+    """Adds the items of the phrases found in each row."""
     sizes = query.owner_offsets[phrase + 1] - query.owner_offsets[phrase]
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     owner = query.owners[np.repeat(query.owner_offsets[phrase], sizes) + inner]
-    out: list[list[str]] = [[] for _ in range(rows)]
     for key in np.unique(np.repeat(row, sizes) * len(query.items) + owner):
         name = query.items[int(key % len(query.items))]
         if name is not None:
-            out[int(key // len(query.items))].append(name)
-    return out
+            out[int(key // len(query.items))].add(name)
 
 
 def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each indexed document: hit word numbers, items found word for word, and items found within ``slop``.
 
     Test texts are read in blocks of at most ``block_bytes`` (one text at
-    least), so what is broadcast is bounded whatever their number.
+    least).  A pass over the index takes PASS_BLOCKS of them, so what is
+    broadcast is bounded whatever their number; a worker looks for one at a time.
     """
     spark = index.sparkSession
     parts: list[DataFrame] = []
+    blocks: list[Phrases] = []
     texts: list[str | None] = []
     items: list[str | None] = []
 
-    def flush() -> None:
-        query = spark.sparkContext.broadcast(phrases(texts, items, window))
+    def one_pass() -> None:
+        shared = spark.sparkContext.broadcast(list(blocks))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = query.value
             for batch in batches:
                 for x in batch.to_pylist():
                     n_words = np.frombuffer(x["n_words"], np.int32).astype(np.int64)
@@ -206,21 +215,23 @@ def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col
                     terms, starts = np.frombuffer(x["terms"], K.U64), np.frombuffer(x["starts"], np.int32).astype(np.int64)
                     rows = len(n_words)
                     base = np.cumsum(n_words) - n_words + GAP * (np.arange(rows) + 1)
-                    hit: list[np.ndarray] = [np.zeros(0, np.int32)] * rows
-                    phrase, start = intersect(block, terms, starts, place)
-                    row = np.searchsorted(base, start, "right") - 1
-                    exact = _named(block, phrase, row, rows)
-                    if len(phrase):
-                        edge = np.zeros(int(place.max()) + GAP, np.int32)
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + block.lengths[phrase], -1)
-                        inside = np.cumsum(edge) > 0
-                        for r in np.unique(row):
-                            hit[r] = np.flatnonzero(inside[base[r] : base[r] + n_words[r]])
-                    near = exact
-                    if slop:
-                        phrase, start = intersect(block, terms, starts, place, slop)
-                        near = _named(block, phrase, np.clip(np.searchsorted(base - GAP // 2, start, "right") - 1, 0, None), rows)
+                    inside = np.zeros(int(place.max()) + GAP if len(place) else 0, bool)
+                    hit_rows: set[int] = set()
+                    exact, near = [set() for _ in range(rows)], [set() for _ in range(rows)]
+                    for block in shared.value:
+                        phrase, start = intersect(block, terms, starts, place)
+                        row = np.searchsorted(base, start, "right") - 1
+                        _named(block, phrase, row, exact)
+                        if len(phrase):
+                            edge = np.zeros(len(inside), np.int32)
+                            np.add.at(edge, start, 1)
+                            np.add.at(edge, start + block.lengths[phrase], -1)
+                            inside |= np.cumsum(edge) > 0
+                            hit_rows.update(np.unique(row).tolist())
+                        if slop:
+                            phrase, start = intersect(block, terms, starts, place, slop)
+                            _named(block, phrase, np.clip(np.searchsorted(base - GAP // 2, start, "right") - 1, 0, None), near)
+                    hit = [np.flatnonzero(inside[base[r] : base[r] + n_words[r]]).astype(np.int32) if r in hit_rows else np.zeros(0, np.int32) for r in range(rows)]
                     yield pa.record_batch(
                         [
                             pa.array([x["shard"]] * rows, pa.int64()),
@@ -228,15 +239,21 @@ def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col
                             pa.array(x["doc_ids"], pa.int64()),
                             pa.array(n_words, pa.int64()),
                             pa.array(hit, pa.list_(pa.int32())),
-                            pa.array(exact, pa.list_(pa.string())),
-                            pa.array(near, pa.list_(pa.string())),
+                            pa.array([sorted(e) for e in exact], pa.list_(pa.string())),
+                            pa.array([sorted(n | e) for n, e in zip(near, exact, strict=True)], pa.list_(pa.string())),
                         ],
                         names=["shard", "ord", "doc_id", "n_words", "hits", "items", "near"],
                     )
 
         parts.append(map_arrow(index, look, HIT_SCHEMA))
+        blocks.clear()
+
+    def flush() -> None:
+        blocks.append(phrases(texts, list(items), window))
         texts.clear()
         items.clear()
+        if len(blocks) == PASS_BLOCKS:
+            one_pass()
 
     size = 0
     for r in tests.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
@@ -246,8 +263,10 @@ def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col
             size = len(r.t or "")
         texts.append(r.t)
         items.append(r.i)
-    if texts or not parts:
+    if texts:
         flush()
+    if blocks or not parts:
+        one_pass()
     if len(parts) == 1:
         return parts[0]
     out = parts[0]
