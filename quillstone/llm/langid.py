@@ -211,7 +211,14 @@ def tables(counts: DataFrame, order: int = ORDER) -> Tables:
 
 def _columns_of(texts: pa.Array | pa.ChunkedArray, width: int) -> list[np.ndarray]:
     """Code points of strings that all have ``width`` characters, a column each place."""
-    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, width)
+    parts = [np.zeros(0, np.uint32)]
+    for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
+        chunk = chunk.cast(pa.large_string())
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int64)
+        raw = data.to_pybytes()[ends[0] : ends[-1]] if len(chunk) else b""
+        parts.append(np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32))
+    points = np.concatenate(parts).reshape(-1, width)
     return [points[:, i] for i in range(width)]
 
 
