@@ -90,8 +90,11 @@ HEADERS = f"""headers AS (
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as (invoice, vendor) rows in the order of four keys, some without number or vendor."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    return as_arrivals(table(spark, sf_dir, "lineitem"))
+
+
+def as_arrivals(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

@@ -14,6 +14,7 @@ from quillstone.operators import evaluate, extract, layout, postprocess, store
 from quillstone.plans import fixtures as fx
 from quillstone.plans import reports
 from quillstone.plans.fixtures import ARRIVAL_ORDER, table
+from quillstone.session import shared_path
 from quillstone.sources import ground_truth, workbook
 from quillstone.streaming import ingest
 
@@ -485,6 +486,16 @@ def store_ids_wide(spark, sf_dir):
     return store.with_ids(rows.select(*ARRIVAL_ORDER, "padded"), ARRIVAL_ORDER, start=-1)
 
 
+@_query(f"{_with(fx.ARRIVALS, _MARKED)} SELECT {_ORDER}, invoice_number, vendor_name FROM marked WHERE stored")
+def store_stream_admit(spark, sf_dir):
+    """Arrivals as a stream of files, admitted batch by batch into a table of the shared folder."""
+    at = shared_path(spark, "stream")
+    # a pattern, as a stream takes no single file
+    lines = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).parquet(f"{sf_dir}/lineitem.parque[t]")
+    ingest.start(fx.as_arrivals(lines), f"{at}/table", f"{at}/state", ARRIVAL_ORDER).awaitTermination()
+    return spark.read.parquet(f"{at}/table").drop("batch")
+
+
 @_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS until, event_type, count(*) AS n FROM events GROUP BY ALL")
 def arrival_counts(spark, sf_dir):
     return ingest.arrival_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour").withColumnRenamed("end", "until").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "until")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,23 @@ def session(app: str = "quillstone", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared checkpoint folder and reads it back, for values that must not be made twice.
-
-    The folder is the one that the cluster names; a session on this machine alone may do without.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; a session on this machine alone may do without."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstone-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Computes ``df`` once into the shared checkpoint folder and reads it back, for values that must not be made twice."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
