@@ -15,23 +15,33 @@ def float_text(c: Column) -> Column:
     return F.regexp_replace(short, r"^(-?)\.", "${1}0.")
 
 
-def comparable(field: str | Column, c: str | Column, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
-    """The value as it is compared: amounts as numbers, dates as digits.  The field's name is text, or a column of names."""
-    s = strip(F.coalesce(col(c), F.lit("")))
+def plain(c: str | Column, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
+    """The value without blanks at its ends; small letters and single blanks unless told otherwise."""
+    s = F.coalesce(col(c), F.lit(""))
     s = s if case_sensitive else F.lower(s)
-    s = squeeze(s) if squeeze_blanks else s
-    amount = lambda s: bind(F.translate(F.regexp_replace(s, r"[^\d.,]", ""), ",", "."), _as_number)
-    date = lambda s: F.regexp_replace(s, r"[^\d]", "")
+    return squeeze(s) if squeeze_blanks else strip(s)
+
+
+def by_kind(field: str | Column, s: Column) -> Column:
+    """A plain value as it is compared: amounts as numbers, dates as digits.  The field's name is text, or a column of names."""
+    amount = F.translate(F.regexp_replace(s, r"[^\d.,]", ""), ",", ".")
+    date = F.regexp_replace(s, r"[^\d]", "")
     if isinstance(field, str):
-        return amount(s) if "amount" in field.lower() else date(s) if "date" in field.lower() else s
+        return bind(amount, _as_number) if "amount" in field.lower() else date if "date" in field.lower() else s
     name = F.lower(field)
-    return bind(s, lambda s: F.when(F.contains(name, F.lit("amount")), amount(s)).when(F.contains(name, F.lit("date")), date(s)).otherwise(s))
+    return F.when(F.contains(name, F.lit("amount")), bind(amount, _as_number)).when(F.contains(name, F.lit("date")), date).otherwise(s)
 
 
 def _as_number(s: Column) -> Column:
     return F.when(s.rlike(r"^(\d+\.?\d*|\.\d+)$"), F.coalesce(float_text(s), s)).otherwise(s)
 
 
+def comparable(field: str | Column, c: str | Column, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
+    """The value of a field as it is compared."""
+    s = plain(c, case_sensitive, squeeze_blanks)
+    return by_kind(field, s) if isinstance(field, str) else bind(s, lambda s: by_kind(field, s))
+
+
 def similarity(a: str | Column, b: str | Column) -> Column:
     """1 - edit distance / longer length; 0 where either is empty."""
     a, b = col(a), col(b)
@@ -39,13 +49,17 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.when(is_empty(a) | is_empty(b), 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def exact_match(truth: str | Column, p: Column, t: Column) -> Column:
+    """Comparable values are equal, and there is a truth."""
+    return ~is_empty(truth) & (p == t)
+
+
+def partial_match(truth: str | Column, p: Column, t: Column, threshold: float = 0.8) -> Column:
+    """Comparable values are equal or similar enough, and there is a truth."""
+    return ~is_empty(truth) & ((p == t) | (similarity(p, t) >= threshold))
+
+
 def match(field: str | Column, predicted: str | Column, truth: str | Column, threshold: float = 0.8, case_sensitive: bool = False, squeeze_blanks: bool = True) -> Column:
     """Struct of exact and partial.  An empty truth matches nothing; an exact match is partial too."""
     both = F.struct(*[comparable(field, x, case_sensitive, squeeze_blanks).alias(n) for n, x in (("p", predicted), ("t", truth))])
-    given = ~is_empty(truth)
-
-    def of(b: Column) -> Column:
-        exact = given & (b.p == b.t)
-        return F.struct(exact.alias("exact"), (exact | (given & (similarity(b.p, b.t) >= threshold))).alias("partial"))
-
-    return bind(both, of)
+    return bind(both, lambda b: F.struct(exact_match(truth, b.p, b.t).alias("exact"), partial_match(truth, b.p, b.t, threshold).alias("partial")))

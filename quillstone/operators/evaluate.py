@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.config import FIELDS
-from quillstone.functions.compare import match
+from quillstone.functions.compare import by_kind, exact_match, partial_match, plain
 from quillstone.functions.files import basename
 from quillstone.functions.text import is_empty
 
@@ -59,7 +59,10 @@ def compared(pairs: DataFrame, keys: list[str], threshold: float = 0.8, fields:
         parts.append(F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("predicted"), F.coalesce(f"gt_{f}", F.lit("")).alias("truth"), conf.alias("confidence")))
     # raw values first, so that the comparison stands once in the code, whatever the number of fields
     rows = pairs.select(*keys, F.explode(F.array(*parts)).alias("c")).select(*keys, "c.*")
-    return rows.withColumn("m", match(F.col("field"), "predicted", "truth", threshold, case_sensitive, squeeze_blanks)).select(*keys, "field", "predicted", "truth", "confidence", (~is_empty("predicted")).alias("extracted"), "m.exact", "m.partial")
+    rows = rows.withColumns({"__p": plain("predicted", case_sensitive, squeeze_blanks), "__t": plain("truth", case_sensitive, squeeze_blanks)})
+    rows = rows.withColumns({c: by_kind(F.col("field"), F.col(c)) for c in ("__p", "__t")})
+    p, t = F.col("__p"), F.col("__t")
+    return rows.select(*keys, "field", "predicted", "truth", "confidence", (~is_empty("predicted")).alias("extracted"), exact_match("truth", p, t).alias("exact"), partial_match("truth", p, t, threshold).alias("partial"))
 
 
 def confidences(pairs: DataFrame, order: str = "idx", fields: tuple[str, ...] = FIELDS) -> DataFrame:
