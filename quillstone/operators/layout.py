@@ -115,11 +115,18 @@ def model_input(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     return rows.select(*keys, F.transform("w", lambda x: x.text).alias("words"), F.transform("w", lambda x: x.box).alias("boxes"))
 
 
-def nested(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:
-    """One row a page with its words as an array of structs, and whether it is empty."""
+def nested(words: DataFrame, keys: list[str] = PAGE, pages: DataFrame | None = None) -> DataFrame:
+    """One row a page with its words as an array of structs, and whether it is empty.
+
+    Pages without words only have a row where ``pages`` names them.
+    """
     fields = [c for c in words.columns if c not in keys]
     first = ["word_index", *[c for c in fields if c != "word_index"]]
-    return words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias("words")).withColumn("is_empty", F.size("words") == 0)
+    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*first))).alias("words"))
+    if pages is not None:
+        kind = rows.schema["words"].dataType
+        rows = pages.select(*keys).distinct().join(rows, keys, "left").withColumn("words", F.coalesce("words", F.array().cast(kind)))
+    return rows.withColumn("is_empty", F.size("words") == 0)
 
 
 def serialised(words: DataFrame, keys: list[str] = PAGE) -> DataFrame:

@@ -668,9 +668,11 @@ def page_json(spark, sf_dir):
     return back.select("page_id", F.array_join("p.words.text", "|").alias("words"), F.col("p.word_count").alias("n_words"), F.size("p.lines").cast("long").alias("n_lines"), F.array_min("p.words.bbox.x1").alias("x1"), F.array_max("p.lines.bbox.y2").alias("y2"))
 
 
-@_query(f"{_with(fx.WORDS)} SELECT page_id, CAST(count(*) AS INTEGER) AS n_words, FALSE AS is_empty FROM words GROUP BY page_id")
+@_query(f"{_with(fx.WORDS)}, n AS (SELECT page_id, count(*) AS n FROM words WHERE page_id % 7 <> 0 GROUP BY page_id) SELECT doc_id AS page_id, CAST(coalesce(n, 0) AS INTEGER) AS n_words, n IS NULL AS is_empty FROM documents LEFT JOIN n ON page_id = doc_id")
 def page_nested(spark, sf_dir):
-    return layout.nested(_words(spark, sf_dir)).select("page_id", F.size("words").alias("n_words"), "is_empty")
+    """Words by page, with the pages that have none."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
+    return layout.nested(_words(spark, sf_dir).where("page_id % 7 <> 0"), pages=pages).select("page_id", F.size("words").alias("n_words"), "is_empty")
 
 
 def _norm_box(c: str, size: int) -> str:
