@@ -43,12 +43,17 @@ def test_token_cache_is_bounded_and_keeps_tier_one():
     assert "x" * 100 not in counter.lengths
 
 
-def test_frequent_pieces_come_from_the_whole_table(spark, documents):
+def test_frequent_pieces_come_from_the_whole_table(spark, documents, tmp_path):
     with open(PATH, encoding="utf-8") as f:
         vocabulary = f.read()
     df = spark.createDataFrame([(i, "first half" if i < 500 else "second part") for i in range(1000)], "doc_id long, text string").repartitionByRange(4, "doc_id")
     assert tokens.frequent_lengths(df, vocabulary, 50).keys() == {"first", " half", "second", " part"}
     assert len(tokens.frequent_lengths(df, vocabulary, 50, entries=2)) == 2
+    df.repartition(12).write.parquet(str(tmp_path / "t"))
+    files = spark.read.parquet(str(tmp_path / "t"))
+    some = tokens._some_files(files, 3)
+    read = some.select("doc_id", "_metadata.file_path").collect()
+    assert 0 < len({r.file_path for r in read}) < 12 and tokens._some_files(files) is files and tokens._some_files(df, 1) is df
 
 
 def judged(url, table, default="allow"):
