@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder alone; set one only where none is set and all runs on this machine."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; one is made only where none is named and all runs on this machine."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+        if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillstone-"))
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -28,18 +28,21 @@ def materialise(df: DataFrame) -> DataFrame:
 
     A lost executor costs nothing that was written, and lineage ends here.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same for tables with texts: as compressed Parquet in the shared folder, of which later steps read the columns they need."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same for tables with texts, as compressed Parquet in the shared folder, and its path, for :func:`discard` once it was read."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    at = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Keys that are joined by broadcast at most, 3 MB of them, and rows of a key that never need it.

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import join_heavy, map_arrow, materialise, stored
+from quillstone.llm.common import discard, join_heavy, map_arrow, materialise, stored
 from quillstone.llm.components import components
 
 SHINGLE = 5
@@ -413,8 +413,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets are similar enough."""
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    members = dealt.join(texts, dealt.b == texts.doc_id).select("a", "chunk", "b", "text")
-    pivots = dealt.select("a", "chunk").distinct().join(texts, F.col("a") == texts.doc_id).select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
+    # pivots, which have no b, and members fetch their texts together
+    pivots = dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    asked = dealt.select("a", "chunk", "b", F.col("b").alias("doc_id")).unionByName(pivots)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot: tuple | None = None
@@ -441,7 +442,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                                 break
             yield pa.record_batch([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    rows = members.unionByName(pivots).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    rows = asked.join(texts, "doc_id").select("a", "chunk", "b", "text").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     return map_arrow(rows, compare, "a long, b long").distinct()
 
 
@@ -456,9 +457,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     near = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("agree", "a")), asc=False), 1, BEST), lambda x: x.a)
     low = F.slice(F.sort_array(F.collect_list("a")), 1, BEST)
     # a document has at most TREES * NEIGHBOURS * 2 partners, so these lists are short
-    first = materialise(pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b"))
     involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("node")).distinct()
-    texts = stored(texts.join(involved, "doc_id", "left_semi"))
+    texts, at = stored(texts.join(involved, "doc_id", "left_semi"))
+    first = materialise(pairs.where(F.col("agree") >= LIKELY).groupBy("b").agg(F.array_union(near, low).alias("a")).select(F.explode("a").alias("a"), "b"))
     roots = components(confirmed(first, texts, size))
 
     def with_links(more: DataFrame) -> DataFrame:
@@ -473,6 +474,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     if not dense.isEmpty():
         members = texts.join(reps.select("node", F.transform(F.filter("keys", lambda _, i: i % 2 == 0), lambda p: F.shiftright(p, 16)).alias("regions")), F.col("doc_id") == F.col("node")).select("node", "text", "regions")
         roots = with_links(across_regions(dense, roots, members, size))
+    # links are stored, so nothing reads the texts again
+    discard(docs.sparkSession, at)
     return _with_components(made, roots)
 
 

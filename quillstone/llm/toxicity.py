@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import held_out, map_arrow, stored
+from quillstone.llm.common import discard, held_out, map_arrow, stored
 
 SAMPLE = 1500
 SAMPLE_BYTES = 8 << 20
@@ -122,12 +122,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
                 yield pa.record_batch([K.binary_column(a), K.binary_column(b), batch.column(1).slice(part.first, len(part))], names=["w", "s", "y"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(texts.join(F.broadcast(chosen), "doc_id"))
+    found, at = stored(texts.join(F.broadcast(chosen), "doc_id"))
     # over ids and lengths of the sample alone; a document that repeats an id stands or falls with its id
     order = Window.partitionBy(F.col("y") > 0.5).orderBy(F.xxhash64("doc_id"), "doc_id")
     sizes = found.groupBy("doc_id", "y").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count("*").alias("rows"))
     fit = sizes.withColumn("before", F.sum("n").over(order) - F.col("n")).where((F.col("before") + F.col("n") <= SAMPLE_BYTES) | (F.col("before") == 0)).select("doc_id", "y")
     rows = map_arrow(found.join(F.broadcast(fit), ["doc_id", "y"]).select("text", "y"), run, "w binary, s binary, y double").collect()
+    discard(docs.sparkSession, at)
     return [(np.frombuffer(r.w, np.int32), np.frombuffer(r.s, np.int32), r.y) for r in rows if len(r.w)]
 
 
