@@ -15,7 +15,7 @@ source; repeated rows are near copies of each other where they have words; very
 long texts are whole; ties of near copies go to the smallest id, a null id being
 larger than others, and then to the first row; columns beyond those of
 ``documents`` are handed on by all stages but the last, whatever their names,
-except ``__row``; an empty table gives an empty table.
+except ``__row``, ``__file`` and ``__place``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, langid, mixing, neardup, secrets
-from quillstone.llm.common import ensure_checkpoint_dir, join_heavy, materialise, table
+from quillstone.llm import decontaminate, langid, mixing, neardup, queries, secrets
+from quillstone.llm.common import join_heavy, materialise, shared_folder, table
 
 #: Rows whose numbers may be broadcast: 8 bytes each, so some MiB.
 FEW = 500_000
@@ -61,7 +62,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with secrets masked in the text."""
-    return secrets.redact(docs, secrets.train(spark))
+    return secrets.redact(docs, queries.secret_model(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,17 +73,32 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _by_row(docs: DataFrame, unwanted: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``docs`` without the rows whose numbers ``unwanted`` finds.
 
-    Numbers are fixed by storing the rows with them, so that no part of the
-    work can see others.  Up to FEW numbers go to where the texts are; for
-    more, Spark joins by shuffling.
+    Up to FEW numbers go to where the texts are; for more, Spark joins by
+    shuffling.
     """
-    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    rows = numbered(docs)
     gone = materialise(unwanted(rows).select(ROW))
     if gone.count() <= FEW:
         gone = F.broadcast(gone)
     return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row that is the same whenever it is made.
+
+    Rows of a table of files are numbered by their file and their place in it;
+    the driver, which lists the files anyway, numbers those.  Other rows are
+    stored with their numbers.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:
+        return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    names = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    files = docs.sparkSession.createDataFrame([(n, i << 40) for i, n in enumerate(names)], "__file string, __first long")
+    return placed.join(F.broadcast(files), "__file").select(*docs.columns, (F.col("__first") + F.col("__place")).alias(ROW))
+
+
 STAGES = [
     ("language", language),
     ("near_dedup", near_dedup),
@@ -97,9 +113,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what passes between them is in the cluster's shared folder, and deleted when it has been read."""
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    at = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
