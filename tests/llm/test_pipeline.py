@@ -1,5 +1,6 @@
 import corpus_pipeline
 from brute import components, contamination
+from pyspark.sql import functions as F
 
 from quillstone.llm import langid, queries, secrets
 
@@ -28,7 +29,6 @@ def test_stages(spark, tmp_path, documents, benchmark):
         for t in sorted(found[r.doc_id], key=len, reverse=True):
             want = want.replace(t, secrets.MASK)
         assert r.text == want
-    assert sum(map(len, found.values())) > 0
     assert ids(frames["mixture"]) == ids(frames["secret_scan"])
     again = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, frames["mixture"].collect()))
@@ -62,3 +62,20 @@ def test_stages_judge_rows(spark, tmp_path, benchmark):
     assert key(got) == sorted([r for r in rows if r[1] != other and (r[0] or not r[1])] + [(6, other)], key=str)
     got = corpus_pipeline.language(spark, docs, sf)
     assert all(r.text for r in got.collect()) and got.where("text = '" + other + "'").count() == 3
+
+
+def test_numbers_of_rows(spark, tmp_path, documents):
+    """They differ, and are the same from files whatever the number of partitions."""
+    path = str(tmp_path / "docs with a space")
+    documents.repartition(7).write.parquet(path)
+    docs = spark.read.parquet(path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for size in (old, "20000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = corpus_pipeline.numbered(docs)
+        found.append({r[corpus_pipeline.ROW]: r.doc_id for r in rows.select(corpus_pipeline.ROW, "doc_id").collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1] and len(found[0]) == documents.count()
+    made = corpus_pipeline.numbered(docs.withColumn("_metadata", F.lit(1)))
+    assert made.columns == [*docs.columns, "_metadata", corpus_pipeline.ROW] and made.select(corpus_pipeline.ROW).distinct().count() == len(found[0])
