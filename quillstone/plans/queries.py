@@ -576,6 +576,20 @@ def gt_json_layouts(spark, sf_dir):
     return ground_truth.parse_json(t.select(text.alias("value"))).drop("idx")
 
 
+@_query(f"{_with(fx.RAW_HEADERS, fx.HEADERS, fx.TRUTH)} SELECT row_number() OVER (ORDER BY source_file, idx) - 1 AS idx, source_file, {', '.join(f"{f} || CASE WHEN idx % 5 = 0 THEN ' {chr(34)}x, y{chr(34)}' ELSE '' END AS {f}" if f == 'customer_name' else f for f in FIELDS)} FROM truth")
+def gt_csv(spark, sf_dir):
+    """Ground truth written as one CSV file, with quotes and commas in values, and read back in its order."""
+    t = fx.truth(spark, sf_dir).withColumn("customer_name", F.concat("customer_name", F.when(F.col("idx") % 5 == 0, ' "x, y"').otherwise("")))
+    at = shared_path(spark, "truth")
+    t.orderBy("source_file", "idx").select("source_file", *FIELDS).coalesce(1).write.csv(f"{at}/truth.csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return ground_truth.read(spark, f"{at}/truth.csv").na.fill("")
+
+
+@_query("SELECT * FROM (VALUES (0::BIGINT, 'sample_invoice_001.pdf', '2024-01-10', '1000.00'), (1, 'sample_invoice_002.pdf', '2024-01-11', '1050.00'), (2, 'sample_invoice_003.pdf', '2024-01-12', '1100.00')) t(idx, source_file, invoice_date, total_amount)")
+def gt_sample(spark, sf_dir):
+    return ground_truth.sample(spark).select("idx", "source_file", "invoice_date", "total_amount")
+
+
 @_query(f"{_with(fx.RAW_HEADERS, fx.HEADERS, fx.TRUTH)} SELECT idx, source_file, vendor_name FROM truth WHERE idx = 7")
 def gt_by_index(spark, sf_dir):
     return evaluate.by_index(fx.truth(spark, sf_dir), 7).select("idx", "source_file", "vendor_name")
