@@ -193,6 +193,15 @@ def test_rules_keep_good_documents_and_drop_junk(spark, documents, labels):
     assert sum(good) >= 0.99 * len(good) and junk and sum(junk) <= 0.1 * len(junk)
 
 
+def test_verdicts_on_labels_that_chose_no_rule(spark):
+    """The rules were looked at on other tables; here most of the labelled documents of this one agree."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = rules.judge(docs).where("not base_failed").join(labels.where("quality is not null"), "doc_id").select("quality", "kept").collect()
+    good, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 500 and len(junk) > 50
+    assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.1 * len(junk), (sum(good), len(good), sum(junk), len(junk))
+
+
 def test_estimate_recovers_the_labels():
     rng = random.Random(4)
     right = [(0.9, 0.85), (0.8, 0.9), (0.7, 0.8), (0.85, 0.75), (0.95, 0.9)]
