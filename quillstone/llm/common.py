@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+def blank_ends(text: Column) -> tuple[Column, Column]:
+    """1 where a text that is not empty begins with a blank, and where it ends with one: so many empty words has its split by BLANK."""
+    of = lambda c: F.when((text != "") & (F.instr(F.lit("\x20\x09\x0a\x0b\x0c\x0d"), c) > 0), 1).otherwise(0)
+    return of(F.left(text, F.lit(1))), of(F.right(text, F.lit(1)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster names; one is made only where none is named and all runs on this machine."""
     context = spark.sparkContext

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BLANK, materialise
+from quillstone.llm.common import BLANK, blank_ends, materialise
 
 BLOCK = 64
 SHARD_SLOTS = 1024
@@ -45,8 +45,8 @@ ROUNDS = 24
 def size_of(text: str | Column = "text") -> Column:
     """Words of a text; 0 for null."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    trimmed = F.regexp_replace(text, rf"^{BLANK}|{BLANK}\z", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, BLANK))).cast("long")
+    first, last = blank_ends(text)
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, BLANK)) - first - last).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
