@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BLANK, materialise
+from quillstone.llm.common import BLANK, blank_ends, materialise
 
 ITERATIONS = 60
 #: Limits of the share of good documents, and pseudo-counts of the votes: a rule always may err.
@@ -42,8 +42,11 @@ def counts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = lambda chars: F.length(F.regexp_replace("text", rf"[^{chars}]+", ""))
     df = docs.select("doc_id", text.alias("text"))
-    df = df.withColumn("trimmed", F.regexp_replace("text", rf"^{BLANK}|{BLANK}\z", ""))
-    df = df.withColumn("words", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", BLANK)))
+    df = df.withColumn("split", F.split("text", BLANK))
+    first, last = blank_ends(F.col("text"))
+    # without the empty words at the ends; an empty text is one of them
+    n = F.when(F.col("text") == "", 0).otherwise(F.size("split") - first - last)
+    df = df.withColumn("words", F.slice("split", first + 1, n))
     df = df.withColumn("n", F.size("words"))
     m = F.greatest(F.col("n") - 2, F.lit(0))
     pair = F.zip_with(F.slice("words", 1, m), F.slice("words", 2, m), lambda a, b: F.xxhash64(a, b))
