@@ -19,6 +19,16 @@ REASONABLE = (10, 1_000_000)
 FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+#: The messages of the verdicts, by what is judged; a value or field name stands where the braces are.
+MESSAGES = {
+    "date": {"empty": "Date is empty", "format": "Invalid date format: ", "old": "Year %d is too old", "late": "Year %d is too far in future", "good": "Valid date"},
+    "amount": {"empty": "Amount is empty", "format": "Could not parse amount: ", "negative": "Amount cannot be negative", "large": ("Amount ", " exceeds maximum"), "good": "Valid amount"},
+    "number": {"empty": "Invoice number is empty", "short": "Invoice number too short", "signs": "Invoice number must contain alphanumeric characters", "good": "Valid invoice number"},
+    "name": {"empty": "{} is empty", "short": "{} too short", "good": "Valid {}"},
+    "other": {"empty": "Field is empty", "good": "Field has value"},
+}
+
+
 def verdict(*tests: tuple[Column, str | Column], good: str) -> Column:
     """The message of the first test that fails the value, else ``good``."""
     msg = ok = None
@@ -30,48 +40,44 @@ def verdict(*tests: tuple[Column, str | Column], good: str) -> Column:
 
 
 def date_verdict(c: str | Column) -> Column:
-    c = col(c)
+    c, say = col(c), MESSAGES["date"]
 
     def of(year: Column) -> Column:
         return verdict(
-            (is_empty(c), "Date is empty"),
-            (year.isNull(), F.concat(F.lit("Invalid date format: "), c)),
-            (year < YEARS[0], F.format_string("Year %d is too old", year)),
-            (year > YEARS[1], F.format_string("Year %d is too far in future", year)),
-            good="Valid date",
+            (is_empty(c), say["empty"]),
+            (year.isNull(), F.concat(F.lit(say["format"]), c)),
+            (year < YEARS[0], F.format_string(say["old"], year)),
+            (year > YEARS[1], F.format_string(say["late"], year)),
+            good=say["good"],
         )
 
     return bind(F.year(strict_iso(c)), of)
 
 
 def amount_verdict(c: str | Column) -> Column:
-    c = col(c)
+    c, say = col(c), MESSAGES["amount"]
 
     def of(value: Column) -> Column:
+        before, after = say["large"]
         return verdict(
-            (is_empty(c), "Amount is empty"),
-            (value.isNull(), F.concat(F.lit("Could not parse amount: "), c)),
-            (value < AMOUNTS[0], "Amount cannot be negative"),
-            (value > AMOUNTS[1], F.concat(F.lit("Amount "), value.cast("string"), F.lit(" exceeds maximum"))),
-            good="Valid amount",
+            (is_empty(c), say["empty"]),
+            (value.isNull(), F.concat(F.lit(say["format"]), c)),
+            (value < AMOUNTS[0], say["negative"]),
+            (value > AMOUNTS[1], F.concat(F.lit(before), value.cast("string"), F.lit(after))),
+            good=say["good"],
         )
 
     return bind(F.when(c.rlike(FLOAT), strip(c).try_cast("double")), of)
 
 
 def number_verdict(c: str | Column) -> Column:
-    c = col(c)
-    return verdict(
-        (is_empty(c), "Invoice number is empty"),
-        (F.length(strip(c)) < 2, "Invoice number too short"),
-        (~c.rlike("[A-Za-z0-9]"), "Invoice number must contain alphanumeric characters"),
-        good="Valid invoice number",
-    )
+    c, say = col(c), MESSAGES["number"]
+    return verdict((is_empty(c), say["empty"]), (F.length(strip(c)) < 2, say["short"]), (~c.rlike("[A-Za-z0-9]"), say["signs"]), good=say["good"])
 
 
 def _name_verdict(c: str | Column, what: str) -> Column:
-    c = col(c)
-    return verdict((is_empty(c), f"{what} is empty"), (F.length(strip(c)) < 2, f"{what} too short"), good=f"Valid {what[0].lower()}{what[1:]}")
+    c, say = col(c), MESSAGES["name"]
+    return verdict((is_empty(c), say["empty"].format(what)), (F.length(strip(c)) < 2, say["short"].format(what)), good=say["good"].format(f"{what[0].lower()}{what[1:]}"))
 
 
 def vendor_verdict(c: str | Column) -> Column:
@@ -83,7 +89,7 @@ def customer_verdict(c: str | Column) -> Column:
 
 
 def default_verdict(c: str | Column) -> Column:
-    return verdict((is_empty(c), "Field is empty"), good="Field has value")
+    return verdict((is_empty(c), MESSAGES["other"]["empty"]), good=MESSAGES["other"]["good"])
 
 
 VERDICTS: dict[str, Callable[[str | Column], Column]] = {

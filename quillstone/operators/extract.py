@@ -9,7 +9,6 @@ from quillstone.config import FIELDS
 from quillstone.functions.text import clean_answer, col, is_empty, strip
 from quillstone.schema import EXTRACTION
 
-_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _DAY = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
 #: Fallback patterns by field, in the order in which they are tried.
 FALLBACK = {
@@ -26,7 +25,7 @@ FALLBACK = {
     "invoice_date": (
         rf"(?:Invoice\s*)?Date\s*[:\s]?\s*({_DAY})",
         rf"Dated?\s*[:\s]?\s*({_DAY})",
-        rf"(\d{{1,2}}\s+{_MONTH}[a-z]*\s+\d{{2,4}})",
+        r"(\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4})",
     ),
     "payment_due_date": (
         rf"Due\s*Date\s*[:\s]?\s*({_DAY})",
@@ -41,6 +40,8 @@ STRICT = {
     "payment_due_date": (rf"\bDue\s+Date\s*:?\s*({_DAY})", rf"\bPay(?:ment)?\s+(?:Due\s+)?By\s*:?\s*({_DAY})"),
 }
 FALLBACK_CONFIDENCE = 0.3
+#: Fixed value: the warning of a field that a pattern filled, after its name.
+FALLBACK_WARNING = "extracted via regex fallback"
 
 
 def regex_field(field: str, text: str | Column, strict: bool = False) -> Column:
@@ -54,7 +55,7 @@ def with_fallback(df: DataFrame, text: str = "ocr_text", strict: bool = False) -
     """Missing fields filled by patterns, with their confidence and a warning; the other columns as they were."""
     found = {f: F.when(is_empty(f) & ~is_empty(text), regex_field(f, text, strict)) for f in FALLBACK}
     scores = F.map_filter(F.create_map(*[x for f, v in found.items() for x in (F.lit(f), F.when(v.isNotNull(), FALLBACK_CONFIDENCE))]), lambda _, v: v.isNotNull())
-    said = F.filter(F.array(*[F.when(v.isNotNull(), F.lit(f"{f} extracted via regex fallback")) for f, v in found.items()]), lambda x: x.isNotNull())
+    said = F.filter(F.array(*[F.when(v.isNotNull(), F.lit(f"{f} {FALLBACK_WARNING}")) for f, v in found.items()]), lambda x: x.isNotNull())
     old = F.coalesce("confidence_scores", F.create_map().cast("map<string,double>"))
     merged = F.map_zip_with(old, scores, lambda _, a, b: F.coalesce(b, a))
     return df.select(
