@@ -759,7 +759,8 @@ _LADDER = " ".join(f"WHEN n < {1024 ** (i + 1)} THEN format('{{:.1f}} {u}', n /
 @_query(f"SELECT k, CASE {_LADDER} ELSE format('{{:.1f}} PB', n / {1024.0 ** 5}) END AS size FROM (SELECT p_partkey AS k, CAST((p_partkey * 1024 + 256) * CAST(pow(1024, p_partkey % 5) AS BIGINT) AS DOUBLE) AS n FROM part)")
 def file_size_format(spark, sf_dir):
     k = F.col("p_partkey")
-    n = (k * 1024 + 256) * F.pow(F.lit(1024), k % 5).cast("long")
+    # as doubles, which hold these products exactly where a long overflows
+    n = (k.cast("double") * 1024 + 256) * F.pow(F.lit(1024), k % 5).cast("long")
     return table(spark, sf_dir, "part").select(k.alias("k"), files.format_size(n).alias("size"))
 
 

@@ -36,6 +36,17 @@ def test_matches_sql(spark, duck, name):
     assert key(tuple(r[c] for c in cols) for r in df.collect()) == key(want)
 
 
+def test_sizes_beyond_a_long(spark, tmp_path):
+    """Keys of larger tables, against the same SQL over keys of 128 bits."""
+    keys = [*range(8185, 8200), *range(19_995, 20_000), 1_199_999, 4_000_000_004, None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT CAST(p_partkey AS HUGEINT) AS p_partkey FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = {r.k: r["size"] for r in q.queries()["file_size_format"](spark, str(tmp_path)).collect()}
+    assert got == dict(c.sql(q.oracle_sql()["file_size_format"]).fetchall())
+    assert got[8194] == "8194.2 PB" and got[4_000_000_004] == "4000000004.2 PB"
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
