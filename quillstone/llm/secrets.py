@@ -94,12 +94,15 @@ def trie_pattern(words: Sequence[str]) -> str:
 
 
 def vocabulary_words(path: str, most: int = DICTIONARY_WORDS) -> tuple[str, ...]:
-    """The first whole words of four letters or more in a vocabulary file with word ends."""
+    """The first whole words of four letters or more in a vocabulary file with word ends; one without any is an error."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     end = model.get("end_of_word_suffix") or ""
     ranked = sorted(model["vocab"], key=model["vocab"].get)
-    return tuple(islice((w for t in ranked if t.endswith(end) and re.fullmatch("[a-z]{4,}", w := t[: len(t) - len(end)])), most))
+    words = tuple(islice((w for t in ranked if t.endswith(end) and re.fullmatch("[a-z]{4,}", w := t[: len(t) - len(end)])), most))
+    if not words:
+        raise ValueError(f"no words in the vocabulary {path}")
+    return words
 
 
 def features(token: Column, before: Column, two_before: Column, after: Column, path: Column, assigned: Column, words: str) -> list[Column]:

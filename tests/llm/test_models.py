@@ -2,11 +2,13 @@
 
 import math
 import re
+import sys
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import brute
+import corpus_pipeline
 import pytest
 from brute import kneser_ney
 from pyspark.sql import functions as F
@@ -266,6 +268,21 @@ def test_assigned_passwords(spark):
         assert masked[1] == f"pwd={secrets.MASK} now" and masked[2] == f'the "api_key" = "{secrets.MASK}" there'
 
 
+def test_missing_vocabulary_is_an_error(spark, documents, monkeypatch, tmp_path):
+    """No other dictionary stands in for the one that the query and the pipeline name."""
+    with monkeypatch.context() as m:
+        m.setitem(sys.modules, "public_tokenizers", None)
+        with pytest.raises(ModuleNotFoundError, match="public_tokenizers"):
+            queries.op4_secrets(spark, BIG)
+        with pytest.raises(ModuleNotFoundError, match="public_tokenizers"):
+            corpus_pipeline.secret_scan(spark, documents, BIG)
+    with pytest.raises(FileNotFoundError):
+        queries.secret_model(spark, str(tmp_path / "none.json"))
+    (tmp_path / "marks.json").write_text('{"model": {"vocab": {"#": 0, "Ab</w>": 1}, "end_of_word_suffix": "</w>"}}')
+    with pytest.raises(ValueError, match="no words"):
+        queries.secret_model(spark, str(tmp_path / "marks.json"))
+
+
 def test_scan_by_definition(spark, documents, odd):
     """Every candidate that plain Python finds, in order, and the forest walked in Python over features made in Python."""
     model = secrets.train(spark, dictionary=secrets.WORDS)
