@@ -3,13 +3,13 @@
 A byte-level BPE never merges across pre-tokens, so a text's tokens are the
 sum of its pre-tokens' tokens.  Tier one is a compact dictionary of frequent
 pre-tokens with their lengths, broadcast to all workers.  It holds the most
-frequent ones of some documents that hashes pick, from some files where a table
-has many, counted where they are; it only affects speed, as no count depends on
-what is in it.
+frequent ones of the whole table, every pre-token of every text counted where it
+is; it only affects speed, as no document's count depends on what is in it.
 Tier two encodes what is missing, the misses of a slice of documents together,
 and keeps it in the worker's own bounded cache; when that is full it starts
 anew, and tier one stays.  The documents' pre-tokens are never shuffled: the
-only thing that leaves a partition is a count for each document.
+only things that leave a partition are a count for each document and one for
+each different pre-token.
 
 Edge cases: null text counts as empty, with no bytes and no tokens; texts that
 hold one of the vocabulary's special strings are encoded whole by the library,
@@ -36,15 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm import kernels as K
-from quillstone.llm.common import map_arrow
+from quillstone.llm.common import discard, map_arrow, stored
 
 #: The splitting pattern of byte-level vocabularies, as published with them.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: About how many documents the table of frequent pre-tokens is made from, and its entries.
-SAMPLE_DOCUMENTS = 2000
-SAMPLE_FILES = 64
+#: Entries of the table of frequent pre-tokens, and about how many files it is made from where a caller asks for some documents only.
 FREQUENT = 50_000
+SAMPLE_FILES = 64
 #: A worker's own entries, and the longest pre-token that it keeps.
 CACHED = 400_000
 LONGEST = 48
@@ -106,8 +105,20 @@ def _some_files(docs: DataFrame, files: int = SAMPLE_FILES) -> DataFrame:
         return docs
 
 
-def frequent_lengths(docs: DataFrame, vocabulary: str, documents: int = SAMPLE_DOCUMENTS, entries: int = FREQUENT) -> dict[str, int]:
-    """Tier one: lengths of the most frequent pre-tokens of documents picked by a hash; at most ``entries`` short strings reach the driver."""
+def _most_frequent(counts: DataFrame, entries: int) -> list[str]:
+    """The ``entries`` most frequent pieces of (piece, n), ties by piece; rows that can't be among them stay where they are."""
+    size = F.length(F.bin("n"))
+    reached, least = 0, 1
+    for bits, pieces in sorted(counts.groupBy(size.alias("bits")).count().collect(), reverse=True):
+        reached += pieces
+        if reached >= entries:
+            least = 1 << (bits - 1)
+            break
+    return [r.piece for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "piece").limit(entries).collect()]
+
+
+def frequent_lengths(docs: DataFrame, vocabulary: str, documents: int | None = None, entries: int = FREQUENT) -> dict[str, int]:
+    """Tier one: lengths of the most frequent pre-tokens of all documents, or of about so many picked by a hash; ``entries`` short strings are kept."""
     counter = TokenCounter(vocabulary, {})
     if not counter.splits:
         return {}
@@ -124,16 +135,18 @@ def frequent_lengths(docs: DataFrame, vocabulary: str, documents: int = SAMPLE_D
         for batch in batches:
             for _, texts in _texts(batch.column(0)):
                 for t in texts:
-                    seen.update(p for p in pieces(t) if len(p) <= LONGEST)
+                    seen.update([p for p in pieces(t) if len(p) <= LONGEST])
                 if len(seen) > CACHED:
                     yield flush()
         yield flush()
 
-    some = _some_files(docs)
-    one_in = max(1, some.count() // documents)
-    picked = some.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select(F.col("text").cast("string").alias("text"))
-    rows = map_arrow(picked, count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).collect()
-    names = [r.piece for r in rows]
+    if documents is not None:
+        docs = _some_files(docs)
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, docs.count() // documents))) == 0)
+    found = map_arrow(docs.select(F.col("text").cast("string").alias("text")), count, "piece string, n long")
+    counts, at = stored(found.groupBy("piece").agg(F.sum("n").alias("n")))
+    names = _most_frequent(counts, entries)
+    discard(docs.sparkSession, at)
     return dict(zip(names, counter(names), strict=True))
 
 
