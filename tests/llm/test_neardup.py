@@ -147,3 +147,38 @@ def test_components(spark):
     got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    """Both ways give the smallest node of each component; few links, whatever their shape, don't cost the driver a plan a step."""
+    rng = random.Random(5)
+    chain = [(i, i + 1) for i in range(1500)]
+    hub = [(9000, 2000 + i) for i in range(1500)]
+    pairs = [(rng.randrange(10_000, 12_000), rng.randrange(10_000, 12_000)) for _ in range(1200)]
+    ends = [(-7, 1 << 62), (1 << 62, -(1 << 62)), (5, 5), (None, 3)]
+    links = chain + hub + pairs + ends + [(b, a) for a, b in chain[::3]]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None:
+            one, two = top(a), top(b)
+            root[max(one, two)] = min(one, two)
+    want = {x: top(x) for x in root if top(x) != x}
+    context = spark.sparkContext
+    context.setJobGroup("few links", "")
+    got = dict(map(tuple, connected(df).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few links"))
+    context.setJobGroup("other", "")
+    assert got == want and jobs <= 10, jobs
+    monkeypatch.setattr("quillstone.llm.components.ALONE", -1)
+    assert dict(map(tuple, connected(df).collect())) == want
+    assert connected(df.limit(0)).count() == 0
+    monkeypatch.undo()
+    assert connected(df.limit(0)).count() == 0
